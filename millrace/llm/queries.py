@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, packing, secret_scan, token_tables, toxicity, vector_topk
+from . import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, substring_dedup, token_tables, toxicity, vector_topk
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -16,6 +24,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -38,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_best_fit_packing, op6_exact_topk, op7_token_tables, op8_secret_scan, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_license_scan, op4_best_fit_packing, op5_substring_dedup, op6_exact_topk, op7_token_tables, op8_secret_scan, op9_toxicity, op10_language_id)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_topk": """
