@@ -65,6 +65,13 @@ def hashed_sample(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
     return df.orderBy(order, F.col(key)).limit(most)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

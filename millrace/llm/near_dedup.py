@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored, texts
+from .common import fresh, sized, stored, texts
 from .shingles import bags, mix, units
 
 BANDS, ROWS = 26, 5
@@ -270,10 +270,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     their class has no other.
     """
     classes = stored(near_duplicates(docs, similarity), "document-classes")
+    name = fresh(docs, "kept_id")
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(kept.where("n = 1").select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    single = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     if kept.where("n > 1").isEmpty():
         return single
-    repeated = docs.join(kept.where("n > 1").select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = docs.join(kept.where("n > 1").select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     # rows with one id: one of each text, for ids that stand for several classes
     return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import fresh, scratch
 
 # The base patterns, by kind, and the fewest characters of the group that counts.
 BASE = [
@@ -137,19 +137,19 @@ def redacted(docs: DataFrame, ledger: BlobLedger | None = None, mask: str = "[SE
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.update(docs)
-    digest = "_blob_digest"
-    known = ledger.seen().where((F.col("rules") == ledger.rules) & (F.size("spans") > 0)).select(F.col("digest").alias(digest), F.col("spans").alias("_blob_spans"))
+    digest, spans = fresh(docs, "blob_digest"), fresh(docs, "blob_spans")
+    known = ledger.seen().where((F.col("rules") == ledger.rules) & (F.size("spans") > 0)).select(F.col("digest").alias(digest), F.col("spans").alias(spans))
     both = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).join(known, digest, "left")
     done = F.aggregate(
-        F.col("_blob_spans"),
+        F.col(spans),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(s["end"].alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
     )
-    text = F.when(F.col("_blob_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(done)
+    text = F.when(F.col(spans).isNull() | F.col("text").isNull(), F.col("text")).otherwise(done)
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_blob_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored, texts
+from .common import fresh, sized, stored, texts
 from .shingles import _FOLD, _powers, mix
 
 #: A cut where these five bits of the gear hash are 0: one in 32 bytes. They depend on 16 bytes.
@@ -156,7 +156,8 @@ def repeated_passages(docs: DataFrame, least: int = WORDS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """docs with all its columns, the passages cut out of every text but that of the first document."""
-    spans = repeated_passages(docs, least).where(F.col("doc_id") != F.col("first_doc_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    owner, cuts_ = fresh(docs, "cut_id"), fresh(docs, "cut_spans")
+    spans = repeated_passages(docs, least).where(F.col("doc_id") != F.col("first_doc_id")).groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "end")).alias(cuts_))
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -173,4 +174,4 @@ def without_repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)])
 
-    return docs.join(spans, F.col("doc_id") == F.col("_id"), "left").withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    return docs.join(spans, F.col("doc_id") == F.col(owner), "left").withColumn("text", cut("text", cuts_)).select(*docs.columns)
