@@ -18,7 +18,7 @@ def numeric(text: Column) -> Column:
 
 def tags(text: Column, separator: str = ",") -> Column:
     """The trimmed parts of a tag field."""
-    return F.transform(F.split(text.cast("string"), rf"\Q{separator}\E"), F.trim)
+    return F.transform(F.split(text.cast("string"), rf"\Q{separator}\E"), lambda x: F.trim(x))
 
 
 def six_places(x: Column) -> Column:

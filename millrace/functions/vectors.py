@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def constant(vector: list[float]) -> Column:
@@ -56,7 +57,7 @@ def int8_decode(e: Column) -> Column:
     return F.transform(e["codes"], lambda c: e["least"] + c * e["step"])
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def fp16_round_trip(v: pd.Series) -> pd.Series:
     """Each component as the nearest IEEE half."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).astype(np.float32))

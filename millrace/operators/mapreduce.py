@@ -43,7 +43,7 @@ def reduce_sum(d: DataFrame) -> DataFrame:
     """The sum of numbers: integers stay so unless one has a fraction; overflow and text are errors; null is skipped; 0 of nothing."""
     v = F.trim("value")
     wrong = v.isNotNull() & (v != "null") & F.when(v.isNotNull(), ~v.rlike(r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")).otherwise(False)
-    whole = v.rlike(r"^-?[0-9]+$")
+    whole = F.when(v != "null", v.rlike(r"^-?[0-9]+$"))
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("not a number: "), v)).cast("string")).when(v == "null", None).otherwise(v)
     d = d.select(checked.alias("v"), whole.alias("whole"))
     out = d.agg(F.coalesce(F.bool_and("whole"), F.lit(True)).alias("whole"), F.coalesce(F.sum(F.when(F.col("whole"), F.col("v").cast("bigint"))), F.lit(0)).alias("i"), F.coalesce(F.sum(F.when(~F.col("whole"), F.col("v").cast("double"))), F.lit(0.0)).alias("f"))
