@@ -122,3 +122,47 @@ def test_suggestions(spark):
 def test_batches_of_nulls(spark):
     df = spark.createDataFrame(pd.DataFrame({"t": [None, None]}), "t string")
     assert text_search.approximate(df, "t", "abc", 1).collect() == []
+
+
+def test_lookup3_and_murmur3_known_values():
+    words = hashes.murmur3_x86_128([b"", b"The quick brown fox jumps over the lazy dog"], 0)
+    assert ["".join(f"{x:08x}" for x in r) for r in words.tolist()] == ["0" * 32, "2f1583c3ecee2c675d7bf66ce5e91d2c"]
+    assert int(hashes.jenkins([b""])[0]) == 0xDEADBEFC
+    keys = [bytes(range(n)) for n in range(50)]
+    assert [int(x) for x in hashes.jenkins(keys)] == [int(hashes.jenkins([k])[0]) for k in keys]
+
+
+def at(history, depth=6):
+    """A history as its values at 2**depth points."""
+    if depth == 0 or not isinstance(history, list):
+        return [history if not isinstance(history, list) else history[0]] * 2**depth
+    return [history[0] + x for h in history[1:] for x in at(h, depth - 1)]
+
+
+def test_interval_tree_clocks(spark):
+    from millrace.functions import causality as C
+
+    rng = random.Random(4)
+    live, seen = [C.SEED], []
+    for _ in range(300):
+        kind, i = rng.random(), rng.randrange(len(live))
+        if kind < 0.2 and len(live) < 12:
+            live[i : i + 1] = C.fork(live[i])
+        elif kind < 0.35 and len(live) > 1:
+            j = rng.choice([x for x in range(len(live)) if x != i])
+            joined = C.join(live[i], live[j])
+            live = [s for x, s in enumerate(live) if x not in (i, j)] + [joined]
+        else:
+            new = C.event(live[i])
+            assert C.before(live[i][1], new[1]) and not C.before(new[1], live[i][1])
+            assert not any(C.before(new[1], s[1]) for x, s in enumerate(live) if x != i)
+            live[i] = new
+        seen.append(live[-1])
+    for a, b in zip(seen, seen[7:] + seen[:7], strict=True):
+        x, y = at(a[1], 12), at(b[1], 12)
+        assert C.before(a[1], b[1]) == all(p <= q for p, q in zip(x, y, strict=True))
+        assert at(C.union(a[1], b[1]), 12) == [max(p, q) for p, q in zip(x, y, strict=True)]
+    import json
+
+    df = spark.createDataFrame([(json.dumps(C.SEED), json.dumps(C.event(C.SEED))), (None, "[1, 0]")], "a string, b string")
+    assert [r[0] for r in df.select(C.relation(F.col("a"), F.col("b"))).collect()] == ["before", None]
