@@ -302,3 +302,87 @@ def json_set_field(doc: Column, name: str, value: Column) -> Column:
 
 def json_delete_field(doc: Column, name: str) -> Column:
     return F.to_json(F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, v: k != name))
+
+
+# the rest of the commands
+
+
+def hash_exists(keys: DataFrame, hashes: DataFrame) -> DataFrame:
+    """HEXISTS, SISMEMBER and the like: keys (any columns) with whether the table has them."""
+    by = keys.columns
+    return keys.join(hashes.select(*by).distinct().withColumn("found", F.lit(True)), by, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def hkeys(hashes: DataFrame) -> DataFrame:
+    return hashes.groupBy("key").agg(F.sort_array(F.collect_list("field")).alias("fields"))
+
+
+def hvals(hashes: DataFrame) -> DataFrame:
+    return hashes.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("values"))
+
+
+def smembers(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("key").agg(F.sort_array(F.collect_set("member")).alias("members"))
+
+
+def random_members(sets: DataFrame, n: int, seed: int) -> DataFrame:
+    """SRANDMEMBER and SPOP: n members of each key, drawn by a hash with a seed, so that a task run again draws the same."""
+    w = Window.partitionBy("key").orderBy(F.xxhash64("member", F.lit(seed)), "member")
+    return sets.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def sort_values(lists: DataFrame, alpha: bool = False, descending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """SORT: each key's values in numeric or text order, with their place."""
+    v = F.col("value") if alpha else F.col("value").try_cast("double")
+    w = Window.partitionBy("key").orderBy(v.desc() if descending else v, "value")
+    out = lists.withColumn("place", F.row_number().over(w) - 1)
+    return out.where((F.col("place") >= offset) & (F.col("place") < offset + (limit if limit is not None else 1 << 30))).select("key", "place", "value")
+
+
+def lset(lists: DataFrame, i: int, value) -> DataFrame:
+    at = F.lit(i) if i >= 0 else F.col("_n") + i
+    return _numbered(lists).withColumn("value", F.when(F.col("_i") == at, F.lit(value)).otherwise(F.col("value"))).drop("_i", "_n")
+
+
+def linsert(lists: DataFrame, pivot, value, before: bool = True) -> DataFrame:
+    """The value beside the first pivot of each key; places are numbered anew."""
+    n = _numbered(lists)
+    first = n.where(F.col("value") == pivot).groupBy("key").agg(F.min("_i").alias("_at"))
+    new = first.select("key", (F.col("_at") * 2 + (-1 if before else 1)).alias("_o"), F.lit(value).alias("value"))
+    both = n.select("key", (F.col("_i") * 2).alias("_o"), "value").unionByName(new)
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("_o")) - 1).select("key", "pos", "value")
+
+
+def move_last(lists: DataFrame, source, target) -> DataFrame:
+    """RPOPLPUSH: the source's last value becomes the target's first."""
+    n = _numbered(lists)
+    last = (F.col("key") == source) & (F.col("_i") == F.col("_n") - 1)
+    moved = n.where(last).select(F.lit(target).alias("key"), F.lit(0).alias("n"), "value")
+    return push(n.where(~last).drop("_i", "_n"), moved, left=True)
+
+
+def previous_values(writes: DataFrame) -> DataFrame:
+    """GETSET: what each write of (key, at, value) replaced."""
+    return writes.withColumn("previous", F.lag("value").over(Window.partitionBy("key").orderBy("at")))
+
+
+def types(tables: dict[str, DataFrame]) -> DataFrame:
+    """TYPE of every key, by the table that it is in."""
+    out = None
+    for kind, t in tables.items():
+        part = t.select(F.col("key").cast("string").alias("key")).distinct().withColumn("type", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def dump(rows: DataFrame, by: str = "key") -> DataFrame:
+    return rows.select(by, F.to_json(F.struct(*rows.columns)).alias("payload"))
+
+
+def restore(dumps: DataFrame, schema: str) -> DataFrame:
+    return dumps.select(F.from_json("payload", schema).alias("r")).select("r.*")
+
+
+def cardinality(sets: DataFrame) -> DataFrame:
+    """PFADD and PFCOUNT: the estimate of a 14-bit sketch beside nothing else."""
+    return sets.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("member", 14)).alias("n"))
