@@ -8,9 +8,10 @@ point, so two documents agree in it with the probability of their weighted Jacca
 Points are drawn in ascending order and no further than the signature needs.
 
 Texts that are the same are one node of the graph from the start. Within a band's bucket every
-node is first compared with the bucket's least node alone; then only nodes of different
-components are compared, in blocks. So large groups of copies cost one comparison a member, and
-no link between different components is lost.
+node is first compared with the bucket's least node alone. Then rounds verify a forest of the
+likeliest links between a bucket's components. At last all likely pairs of
+nodes of different components are verified. So a large group of copies costs a few comparisons a
+member, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import fresh, sized, stored, texts
 from .shingles import bags, mix, units
 
-BANDS, ROWS = 26, 5
-COMPONENTS = BANDS * ROWS
-#: The similarity that links, and the estimate below which a pair is not verified (some 5 deviations under it).
-SIMILARITY, ESTIMATE = 0.8, 0.62
-#: Nodes of a block of a bucket.
-BLOCK = 1000
+#: Bands and their components, and components in all: those beyond the bands sharpen the estimate.
+BANDS, ROWS, COMPONENTS = 26, 5, 260
+#: The similarity that links, and the estimate below which a pair is not verified (four deviations under it).
+SIMILARITY, ESTIMATE = 0.8, 0.70
+#: Nodes of a block of a bucket, and rounds of forests before all pairs are verified.
+BLOCK, FORESTS = 1000, 2
 _STEP = 400  # texts hashed at once
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +87,7 @@ def _points(seed, text, low, length, most, limit, out) -> np.ndarray:
         component = (other & np.uint64(0xFFFFFFFF)).astype(np.int64) % COMPONENTS
         kept.append((time[counts], text[alive][counts] * COMPONENTS + component[counts], draw[counts]))
     time, slot, point = map(np.concatenate, zip(*kept, strict=True))
-    order = np.argsort(-time, kind="stable")  # the first point is written last
+    order = np.argsort(-time)  # the first point is written last
     flat = out.reshape(-1)
     flat[slot[order]] = point[order]
     filled = np.zeros(flat.size, bool)
@@ -97,7 +98,7 @@ def _points(seed, text, low, length, most, limit, out) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD, (len(sig), 1))
     for r in range(ROWS):
-        keys = mix(keys + sig[:, r::ROWS])
+        keys = mix(keys + sig[:, r : BANDS * ROWS : ROWS])
     return keys.view(np.int64)
 
 
@@ -183,8 +184,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of nodes that share a bucket but not a component.
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
+    """Likely pairs (a, b) of nodes that share a bucket but not a component: all of them, or with
+    `forest` only those of greatest estimate that join a group's components into trees.
 
     In a bucket, the members of its largest component are compared with the others only. Members
     are dealt into blocks of about BLOCK; a group is two blocks, so that no group grows with a
@@ -213,11 +215,29 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
         if not left or not right:
             return a, b
         x, y = (np.frombuffer(b"".join(r[6] for r in s), np.uint8).reshape(-1, COMPONENTS) for s in (left, right))
-        for i, j in zip(*np.nonzero(alike(x, y) >= ESTIMATE), strict=True):
+        likeness = alike(x, y)
+        at, to = np.nonzero(likeness >= ESTIMATE)
+        if forest:
+            order = np.argsort(-likeness[at, to], kind="stable")
+            at, to = at[order], to[order]
+        tree: dict[bytes, bytes] = {}
+
+        def root(label: bytes) -> bytes:
+            while tree.get(label, label) != label:
+                label = tree[label]
+            return label
+
+        for i, j in zip(at.tolist(), to.tolist(), strict=True):
             p, q = left[i], right[j]
-            if p[5] != q[5] and (not same_block or p[4] < q[4]):
-                a.append(min(p[4], q[4]))
-                b.append(max(p[4], q[4]))
+            if p[5] == q[5] or (same_block and p[4] >= q[4]):
+                continue
+            if forest:
+                u, v = root(p[5]), root(q[5])
+                if u == v:
+                    continue
+                tree[u] = v
+            a.append(min(p[4], q[4]))
+            b.append(max(p[4], q[4]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +273,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     members = stored(keyed.join(buckets, "key"), "members")
     star = stored(likely(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes), "star")
-    edges = verified(docs, nodes, star, similarity)
-    more = stored(across(members, components(edges), nodes).join(star, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        edges = edges.unionByName(verified(docs, nodes, more, similarity))
+    edges, tested = verified(docs, nodes, star, similarity), star
+    for forest in (*[True] * FORESTS, False):
+        more = stored(across(members, components(edges), nodes, forest).join(tested, ["a", "b"], "left_anti"), "across")
+        found = None if more.isEmpty() else verified(docs, nodes, more, similarity)
+        if found is not None:
+            edges, tested = edges.unionByName(found), tested.unionByName(more)
     labelled = nodes.select("node", "doc_id", "copies").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_node = stored(labelled.select("node", "label").join(classes, "label").select("node", "class_id", "class_size"), "classes")

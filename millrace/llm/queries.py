@@ -52,6 +52,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_license_scan, op4_best_fit_packing, op5_substring_dedup, op6_exact_topk, op7_token_tables, op8_secret_scan, op9_toxicity, op10_language_id)}
 
+def _secret_sql() -> str:
+    """op8 in SQL: the same patterns, with the places from what stands between the matches."""
+    kinds, quote = secret_scan.BASE + secret_scan.MORE, lambda x: "'" + x.replace("'", "''") + "'"
+    matches = " UNION ALL ".join(
+        f"SELECT rid, {k} AS k, {quote(kind)} AS kind, string_split_regex(t, {quote(rx)}) AS gaps, regexp_extract_all(t, {quote(rx)}, 0) AS whole, regexp_extract_all(t, {quote(rx)}, {group}) AS part, {least} AS least FROM d"
+        for k, (kind, rx, group, least) in enumerate(kinds)
+    )
+    base = f"k < {len(secret_scan.BASE)}"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(secret_scan.BASE))
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), m AS ({matches}),
+        u AS (SELECT *, unnest(generate_series(1, len(whole))) AS i FROM m WHERE len(whole) > 0),
+        p AS (SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM u WHERE length(part[i]) >= least),
+        w AS (SELECT rid, k, s, concat(kind, ':', s, ':', s + length(whole[i])) AS span FROM p),
+        g AS (SELECT rid, {counts}, string_agg(span, ',' ORDER BY s, k) FILTER ({base}) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM w GROUP BY rid)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (rid)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op6_exact_topk": """
         WITH v AS (
@@ -64,4 +84,21 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op8_secret_scan": _secret_sql(),
+    # all pairs that share a shingle, and their components by reachability: for small tables
+    "op1_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7f])+') AS w FROM documents),
+        i AS (SELECT rid, w, unnest(generate_series(1, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS k FROM d),
+        b AS (SELECT rid, array_to_string(w[k:k+4], ' ') AS s, count(*) AS c FROM i GROUP BY 1, 2),
+        n AS (SELECT rid, sum(c) AS n FROM b GROUP BY 1),
+        p AS (SELECT x.rid AS a, y.rid AS b, sum(least(x.c, y.c)) AS common FROM b x JOIN b y ON x.s = y.s AND x.rid < y.rid GROUP BY 1, 2),
+        e AS (
+          SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE common >= CAST(0.8 AS DOUBLE) * (x.n + y.n - common)
+          UNION SELECT x.rid, y.rid FROM d x JOIN d y ON x.t = y.t AND x.rid < y.rid
+        ),
+        l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT rid, rid AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.rid),
+        c AS (SELECT r.rid, min(r.root) AS root FROM r GROUP BY 1)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM d JOIN c USING (rid)
+    """,
 }
