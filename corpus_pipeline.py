@@ -13,7 +13,7 @@ from millrace.llm.common import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can't be told go: null or letterless texts, and those of a score under 0.35."""
+    """Rows whose language can't be told go: null or letterless texts, and those of a score under 0.3."""
     return language_id.keep_identified(docs, language_id.train(docs))
 
 

@@ -25,8 +25,8 @@ from .shingles import shingle_hashes, word_hashes
 K1, B = 1.2, 0.75
 #: Least share of an item's five-word shingles in a passage.
 OVERLAP, SHINGLE = 0.8, 5
-#: Items of a block, of one index, and of one pass over the documents.
-BLOCK, SHARD, PASS = 8, 1000, 20_000
+#: Items of a block, of one index, and of one pass over the documents: the broadcast bounds grow with their product (some 50 MB a pass).
+BLOCK, SHARD, PASS = 8, 500, 5000
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 

@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: ByteCNN, fold: int = 2, folds: int = 4) ->
     return wanted.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteCNN, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, model: ByteCNN, least: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is told with probability `least` or more.
 
     Texts that are null, empty or without a letter go.
