@@ -72,6 +72,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
+def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
+
+
+def gathered(df: DataFrame, rows: int, each: int = 25_000) -> DataFrame:
+    """df in no more tasks than its rows need, eight at least."""
+    return df.coalesce(max(8, rows // each))

@@ -9,8 +9,8 @@ Points are drawn in ascending order and no further than the signature needs.
 
 Texts that are the same are one node of the graph from the start. Within a band's bucket every
 node is first compared with the bucket's least node alone. Then rounds verify a forest of the
-likeliest links between a bucket's components. At last all likely pairs of
-nodes of different components are verified. So a large group of copies costs a few comparisons a
+likeliest links between a bucket's components. At last all pairs of nodes of
+different components that wide signatures tell as likely are verified. So a large group of copies costs a few comparisons a
 member, and no link between different components is lost.
 """
 
@@ -23,24 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sized, stored, texts
+from .common import fresh, gathered, sized, stored, texts
 from .shingles import bags, mix, units
 
 #: Bands and their components, and components in all: those beyond the bands sharpen the estimate.
 BANDS, ROWS, COMPONENTS = 26, 5, 260
 #: The similarity that links, and the estimate below which a pair is not verified (four deviations under it).
 SIMILARITY, ESTIMATE = 0.8, 0.70
-#: Nodes of a block of a bucket, and rounds of forests before all pairs are verified.
-BLOCK, FORESTS = 1000, 2
+#: Components of the wide signatures of the last round, and the estimate from them below which a pair is not verified.
+WIDE, WIDE_ESTIMATE = 1024, 0.75
+#: Nodes of a block of a bucket, and rounds of forests before all likely pairs are verified.
+BLOCK, FORESTS = 1000, 1
 _STEP = 400  # texts hashed at once
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signatures(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of COMPONENTS point ids for each text; and which texts have a word at all."""
+def signatures(texts_: list[str], size: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
+    """A row of `size` point ids for each text; and which texts have a word at all."""
     sh, weight, n = bags(texts_)
-    out = np.zeros((len(texts_), COMPONENTS), np.uint64)
+    out = np.zeros((len(texts_), size), np.uint64)
     some = n > 0
     if not some.any():
         return out, some
@@ -59,17 +61,18 @@ def signatures(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text, most = of[element], weight[element]
     todo, margin = some.copy(), 1.5
     while todo.any():
-        limit = np.where(todo, (np.log(COMPONENTS) + margin) / np.maximum(total, 1), 0.0)
+        limit = np.where(todo, (np.log(size) + margin) / np.maximum(total, 1), 0.0)
         live = np.flatnonzero(todo[text])
         filled = _points(seed[live], text[live], low[live], length[live], most[live], limit, out)
-        todo &= filled.reshape(len(n), COMPONENTS).sum(axis=1) < COMPONENTS
+        todo &= filled.reshape(len(n), size).sum(axis=1) < size
         margin = 2 * margin + 2
     return out, some
 
 
 def _points(seed, text, low, length, most, limit, out) -> np.ndarray:
     """Draws the points of each process up to the text's limit; writes each component's first point's id."""
-    rate, until = length * COMPONENTS, limit[text]
+    components_ = out.shape[1]
+    rate, until = length * components_, limit[text]
     time, number = np.zeros(len(seed)), 0
     kept: list[tuple] = []
     alive = np.arange(len(seed))
@@ -84,8 +87,8 @@ def _points(seed, text, low, length, most, limit, out) -> np.ndarray:
         other = mix(draw + np.uint64(0xA5A5))
         level = low[alive] + (other >> np.uint64(40)).astype(np.float64) * 2.0**-24 * length[alive]
         counts = np.floor(level) + 1 <= most[alive]
-        component = (other & np.uint64(0xFFFFFFFF)).astype(np.int64) % COMPONENTS
-        kept.append((time[counts], text[alive][counts] * COMPONENTS + component[counts], draw[counts]))
+        component = (other & np.uint64(0xFFFFFFFF)).astype(np.int64) % components_
+        kept.append((time[counts], text[alive][counts] * components_ + component[counts], draw[counts]))
     time, slot, point = map(np.concatenate, zip(*kept, strict=True))
     order = np.argsort(-time)  # the first point is written last
     flat = out.reshape(-1)
@@ -119,11 +122,15 @@ def sketch(docs: DataFrame) -> DataFrame:
     return addressed.mapInArrow(run, "doc_id long, node binary, bands array<long>, sig binary")
 
 
-def bag_arrays(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """node and bag (its units' hashes) for the nodes in wanted: node and one doc_id that has the text."""
+def fetched(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """node and text of the rows that have the doc_id and the node of a row in wanted; repeated rows stay."""
     addressed = texts(docs).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     chosen = wanted.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
-    found = addressed.join(sized(chosen, rows), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return addressed.join(sized(chosen, rows), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("node", "text")
+
+
+def bag_arrays(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """node and bag (its units' hashes) for the nodes in wanted: node and one doc_id that has the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,77 +142,122 @@ def bag_arrays(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
                 ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(n)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64)))], names=["node", "bag"])
 
-    return found.select("node", "text").mapInArrow(run, "node binary, bag array<long>").groupBy("node").agg(F.first("bag").alias("bag"))
+    return fetched(docs, wanted, rows).mapInArrow(run, "node binary, bag array<long>").groupBy("node").agg(F.first("bag").alias("bag"))
+
+
+def wide_signatures(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """node and sig, a signature of WIDE components at one byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _STEP):
+                b = whole.slice(at, _STEP)
+                small = (signatures(b.column(1).to_pylist(), WIDE)[0] & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "sig"])
+
+    return fetched(docs, wanted, rows).mapInArrow(run, "node binary, sig binary").groupBy("node").agg(F.first("sig").alias("sig"))
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose bags overlap by `similarity` of their union; stored."""
     wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "doc_id"), "node"), "wanted")
     bag = stored(bag_arrays(docs, wanted, wanted.count()), "bags")
-    both = pairs.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+    both = bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).join(sized(pairs, pairs.count()), "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     common = F.size(F.array_intersect("bag_a", "bag_b"))
     return stored(both.where(common >= similarity * (F.size("bag_a") + F.size("bag_b") - common)).select("a", "b"), "edges")
 
 
+def _unbiased(share):
+    """Similarity from the share of equal bytes, one in 256 of which agree by chance."""
+    return (share - 1 / 256) / (1 - 1 / 256)
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The estimated similarity of each row of x with each row of y, from signatures of one byte a component."""
     same = np.zeros((len(x), len(y)), np.int32)
     for i in range(0, len(x), 64):
         same[i : i + 64] = (x[i : i + 64, None, :] == y[None, :, :]).sum(axis=2)
-    return (same / COMPONENTS - 1 / 256) / (1 - 1 / 256)
+    return _unbiased(same / x.shape[1])
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures are not too far apart."""
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    sig, pairs = nodes.select("node", "sig"), stored(pairs, "pairs")
+    n = pairs.count()
+    half = stored(gathered(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")).join(sized(pairs, n), "b"), n), "pairs")
+    both = sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")).join(sized(half, n), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COMPONENTS) for i in (2, 3))
-                good = (((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)) >= ESTIMATE
+                good = _unbiased((x == y).mean(axis=1)) >= ESTIMATE
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], names=["a", "b"])
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and label (the least node of its component) for every node of the edges (a, b)."""
-    links = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = stored(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """node and label (the least node of its component) for every node of the edges (a, b).
+
+    With labels from before, their components are joined by the new edges alone. Each round takes
+    the least label of the neighbours, then the label of the label; sides of counted few rows are
+    broadcast.
+    """
+    if before is not None:
+        named = lambda c, to: sized(before.select(F.col("node").alias(c), F.col("label").alias(to)), before.count())
+        old = edges.join(named("a", "x"), "a", "left").join(named("b", "y"), "b", "left")
+        edges = old.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
+    links = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    links = stored(gathered(links, 2 * edges.count()), "links")
+    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    n = labels.count()
     while True:
-        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        onward = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = stored(step.join(onward, "label").select("node", "was", F.least("label", "further").alias("label")), "labels")
+        near = links.join(sized(labels.select(F.col("node").alias("b"), "label"), n), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        onward = sized(labels.select(F.col("node").alias("near"), F.col("label").alias("further")), n)
+        step = near.join(onward, "near").join(sized(labels, n), "node").select("node", F.col("label").alias("was"), F.least("label", "near", "further").alias("label"))
+        step = stored(gathered(step, n), "labels")
         labels = step.select("node", "label")
         if step.where(F.col("was") != F.col("label")).isEmpty():
-            return labels
+            break
+    if before is None:
+        return labels
+    moved = sized(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), n)
+    kept = before.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh_ = labels.join(sized(before.select("node"), before.count()), "node", "left_anti")
+    return stored(kept.unionByName(fresh_), "labels")
 
 
-def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """Likely pairs (a, b) of nodes that share a bucket but not a component: all of them, or with
-    `forest` only those of greatest estimate that join a group's components into trees.
+def across(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
+    """Likely pairs (a, b) of nodes that share a bucket but not a component: all of them, told by
+    wide signatures and each in the first bucket that the two share; or with `forest` only those
+    of greatest estimate that join a group's components into trees.
 
     In a bucket, the members of its largest component are compared with the others only. Members
     are dealt into blocks of about BLOCK; a group is two blocks, so that no group grows with a
     bucket.
     """
-    told = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    told = members.select("key", "node").join(sized(labels, labels.count()), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = told.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    mixed = mixed.select("key", "main", blocks(F.col("n_main")).alias("d"), blocks(F.col("n") - F.col("n_main")).alias("o"))
-    rows = told.join(mixed, "key").withColumn("first", F.col("label") == F.col("main"))
+    mixed = stored(mixed.select("key", "main", blocks(F.col("n_main")).alias("d"), blocks(F.col("n") - F.col("n_main")).alias("o")), "mixed")
+    rows = told.join(sized(mixed, mixed.count()), "key").withColumn("first", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("d")).otherwise(F.col("o")))
     # groups (i, j): of others i <= j; of others i and the main component's block j as (i, -1 - j)
     main_groups = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side")))
     with_main = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda k: F.struct(F.col("own").alias("i"), (-1 - k).alias("j"), F.lit(0).alias("side")))
     with_others = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(F.col("own") > k, 1).otherwise(0).alias("side")))
     rows = rows.withColumn("own", own).withColumn("g", F.explode(F.when(F.col("first"), main_groups).otherwise(F.concat(with_main, with_others))))
-    rows = rows.select("key", "g.i", "g.j", "g.side", "node", "label").join(nodes.select("node", "sig"), "node")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "node", "label", "sig")
+    rows = rows.select("key", "g.i", "g.j", "g.side", "node", "label")
+    wanted = stored(rows.select("node").distinct(), "wanted")
+    n = wanted.count()
+    wanted = stored(gathered(nodes.select("node", "doc_id", "bands", "sig").join(sized(wanted, n), "node"), n, 2000), "wanted")
+    signed = wanted.select("node", "bands", "sig")
+    if not forest:
+        signed = stored(wide_signatures(docs, wanted.select("node", "doc_id"), n).join(sized(wanted.select("node", "bands"), n, 20_000), "node"), "wide")
+    rows = rows.join(sized(signed, n, 20_000), "node")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "node", "label", "sig", "bands")
 
     def group(rows_: list[tuple]) -> tuple[list, list]:
         a, b = [], []
@@ -214,12 +266,24 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, forest: bool
         right = left if same_block else [r for r in rows_ if r[3] == 1]
         if not left or not right:
             return a, b
-        x, y = (np.frombuffer(b"".join(r[6] for r in s), np.uint8).reshape(-1, COMPONENTS) for s in (left, right))
-        likeness = alike(x, y)
+        x, y = (np.frombuffer(b"".join(r[6] for r in s), np.uint8).reshape(len(s), -1) for s in (left, right))
+        likeness = alike(x[:, :COMPONENTS], y[:, :COMPONENTS])
         at, to = np.nonzero(likeness >= ESTIMATE)
         if forest:
             order = np.argsort(-likeness[at, to], kind="stable")
             at, to = at[order], to[order]
+        elif at.size:
+            p, q = (np.array([r[7] for r in s], np.int64) for s in (left, right))
+            good = np.zeros(at.size, bool)
+            for lo in range(0, at.size, 20_000):
+                u, v = at[lo : lo + 20_000], to[lo : lo + 20_000]
+                same = p[u] == q[v]
+                here = p[u, same.argmax(axis=1)] == rows_[0][0]  # the first band that they share is this bucket's
+                u, v = u[here], v[here]
+                sure = np.zeros(here.size, bool)
+                sure[here] = _unbiased((x[u] == y[v]).mean(axis=1)) >= WIDE_ESTIMATE
+                good[lo : lo + 20_000] = sure
+            at, to = at[good], to[good]
         tree: dict[bytes, bytes] = {}
 
         def root(label: bytes) -> bytes:
@@ -273,13 +337,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     members = stored(keyed.join(buckets, "key"), "members")
     star = stored(likely(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes), "star")
-    edges, tested = verified(docs, nodes, star, similarity), star
+    found, tested = verified(docs, nodes, star, similarity), star
+    labels = components(found)
     for forest in (*[True] * FORESTS, False):
-        more = stored(across(members, components(edges), nodes, forest).join(tested, ["a", "b"], "left_anti"), "across")
-        found = None if more.isEmpty() else verified(docs, nodes, more, similarity)
-        if found is not None:
-            edges, tested = edges.unionByName(found), tested.unionByName(more)
-    labelled = nodes.select("node", "doc_id", "copies").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        more = stored(across(docs, members, labels, nodes, forest).join(sized(tested, tested.count()), ["a", "b"], "left_anti"), "across")
+        if not more.isEmpty():
+            found = verified(docs, nodes, more, similarity)
+            labels, tested = components(found, labels), tested.unionByName(more)
+    labelled = nodes.select("node", "doc_id", "copies").join(sized(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_node = stored(labelled.select("node", "label").join(classes, "label").select("node", "class_id", "class_size"), "classes")
     return sketched.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "class_size")
