@@ -148,10 +148,12 @@ def bag_arrays(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
 def wide_signatures(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """node and sig, a signature of WIDE components at one byte each."""
 
+    step = _STEP * COMPONENTS // WIDE  # as many points at once as for the first signatures
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _STEP):
-                b = whole.slice(at, _STEP)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 small = (signatures(b.column(1).to_pylist(), WIDE)[0] & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "sig"])
 
