@@ -1,9 +1,11 @@
-"""Substring dedup by content-defined chunks: a gear rolling hash cuts, digests find what repeats.
+"""Substring dedup by winnowed word runs: every two documents that share a passage of 50 words meet.
 
 Texts are compared as their words: runs of letters and digits in lower case with single blanks
-between. A cut depends on the bytes just before it alone, so an insertion moves the cuts around it and no
-others. Chunks whose digest occurs in more than one document anchor a comparison with the first
-document that holds them; the anchors on one alignment are grown to the whole passage in common.
+between. A window of 50 words is told by the least hash of its 26 runs of 25 words, so a window that
+two documents share has the same least hash in both. Neighbouring windows of one least hash make a
+block. A block met before is paired with the first document that holds it; the windows of a block's
+first document are hashed one by one and paired with the first that holds each. Pairs are grown to
+the whole passage in common, word by word.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .shingles import _FOLD, _powers, mix
 MASK = np.uint32(0b11111 << 11)
 #: No cut within so many bytes of another place that could be one.
 NEAR = 12
-#: Bytes from the first to the last anchor of an alignment at least, and words of a passage at least.
-ANCHORED, WORDS = 32, 50
+#: Words of a passage at least.
+WORDS = 50
+#: Characters of the texts that are hashed at once, unless one text alone is longer.
+_CHARS = 1 << 20
 _STEP = 400
 _WORD = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
 
@@ -70,26 +74,109 @@ def chunks(texts_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return join(digests, np.uint64), join(starts, np.int32), join(lengths, np.int32), np.array(counts, np.int64)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """For every document its chunks' digests, starts and lengths, as arrays."""
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours of x."""
+    span = 1
+    while span * 2 <= width:
+        x, span = np.minimum(x[:-span], x[span:]), span * 2
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
+class Windows:
+    """The windows of `least` words of some texts, in blocks of neighbours with the same least hash of shorter runs."""
+
+    def __init__(self, texts_: list[str], least: int) -> None:
+        raw = [normal(t) for t in texts_]
+        counts = np.array([t.count(b" ") + 1 if t else 0 for t in raw], np.int64)
+        data = np.frombuffer(b" ".join(t for t in raw if t), np.uint8)
+        self.least, total, short = least, int(counts.sum()), (least + 1) // 2
+        self.sums, self.text = np.zeros(total + 1, np.uint64), np.repeat(np.arange(len(counts)), counts)
+        at = np.append(0, np.flatnonzero(data == 32) + 1)[:total]
+        power, self.inverse = _powers(len(data))
+        sums = np.append(np.uint64(0), np.cumsum(data.astype(np.uint64) * power[: len(data)]))
+        words = mix((sums[np.append(at[1:] - 1, len(data))[:total]] - sums[at]) * self.inverse[at])
+        np.cumsum(words * power[:total], out=self.sums[1:])
+        first = (np.cumsum(counts) - counts)[self.text]
+        #: The place of every word in its text, in bytes.
+        self.place = at - at[first]
+        if total < least:
+            self.at, self.key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        else:
+            key = _least(self.hashes(np.arange(total - short + 1), short), least - short + 1)
+            whole = np.flatnonzero((np.arange(total) - first + least <= counts[self.text])[: len(key)])
+            self.at, self.key = whole, key[whole]  # the first word of a window
+        of = self.text[self.at]
+        new = np.append(True, (self.key[1:] != self.key[:-1]) | (of[1:] != of[:-1]))[: len(of)]
+        #: The first window of each block and how many windows it has.
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(of)))
+
+    def hashes(self, at: np.ndarray, words) -> np.ndarray:
+        """Hashes of the runs of so many words from the words at these places."""
+        return mix((self.sums[at + words] - self.sums[at]) * self.inverse[at] + np.asarray(words).astype(np.uint64))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of _STEP rows and about _CHARS characters of text at most; the text comes second."""
+    for batch in batches:
+        size, lo = np.cumsum([len(t) for t in batch.column(1).to_pylist()]), 0
+        while lo < batch.num_rows:
+            before = size[lo - 1] if lo else 0
+            hi = min(max(int(np.searchsorted(size, before + _CHARS, "right")), lo + 1), lo + _STEP)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _listed(of: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n))).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in values]
+
+
+def blocks(docs: DataFrame, least: int) -> DataFrame:
+    """For every document its blocks of windows: the least hash, a hash of all their words, and the place, as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, _STEP):
-                b = whole.slice(lo, _STEP)
-                digest, start, length, n = chunks(b.column(1).to_pylist())
-                ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (digest.view(np.int64), start, length)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "digest", "start", "length"])
+        for b in _parts(batches):
+            w = Windows(b.column(1).to_pylist(), least)
+            at = w.at[w.first]
+            lists = _listed(w.text[at], b.num_rows, w.key[w.first].view(np.int64), w.hashes(at, w.size + least - 1).view(np.int64), w.place[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "key", "digest", "start"])
 
-    return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, digest array<long>, start array<int>, length array<int>")
+    return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, key array<long>, digest array<long>, start array<int>")
+
+
+def windows(owners: DataFrame, least: int) -> DataFrame:
+    """The windows of the blocks at `places` (2 x the start, and 1 more where others hold the block) of doc_id, text, places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            w = Windows(b.column(1).to_pylist(), least)
+            at, wanted = w.at[w.first], b.column(2)
+            places = wanted.flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(b.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.unique((rows.astype(np.int64) << 33) + places)
+            own = (w.text[at].astype(np.int64) << 33) + 2 * w.place[at]
+            shared, alone = np.isin(own + 1, order), np.isin(own, order)
+            keep = np.repeat(shared | alone, w.size)
+            at, shared = w.at[keep], np.repeat(shared, w.size)[keep]
+            lists = _listed(w.text[at], b.num_rows, w.hashes(at, least).view(np.int64), w.place[at].astype(np.int32), shared)
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "digest", "start", "shared"])
+
+    return owners.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, digest array<long>, start array<int>, shared array<boolean>")
 
 
 def common_passages(a: bytes, b: bytes, anchors: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Passages of `least` whole words or more that a and b share around the anchors: (first word in a, in b, words)."""
-    x, y, found, done = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), [], {}
+    x, y, found, spans, done = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), [], [], {}
+    ends_a, ends_b = (np.append(np.flatnonzero(s == 32), len(s)) for s in (x, y))
+
+    def covered(i: int, j: int) -> bool:
+        """Whether passages found before hold the window of a and that of b."""
+        to_a, to_b = (int(ends[min(np.searchsorted(ends, at) + least - 1, len(ends) - 1)]) for ends, at in ((ends_a, i), (ends_b, j)))
+        return any(lo <= i and to_a <= hi for lo, hi, _, _ in spans) and any(lo <= j and to_b <= hi for _, _, lo, hi in spans)
+
     for i, j in sorted(anchors):
-        if done.get(i - j, -1) > i or i >= len(x) or j >= len(y):
+        if done.get(i - j, -1) > i or i >= len(x) or j >= len(y) or (spans and covered(i, j)):
             continue
         n = min(len(x) - i, len(y) - j)
         differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
@@ -108,9 +195,18 @@ def common_passages(a: bytes, b: bytes, anchors: list[tuple[int, int]], least: i
         words = len(a[lo:hi].split())
         if words >= least:
             found.append((a.count(b" ", 0, lo + (a[lo] == 32)), b.count(b" ", 0, lo + j - i + (a[lo] == 32)), words))
+            spans.append((lo, hi, lo + j - i, hi + j - i))
     return found
 
 
+def own_passages(a: bytes, anchors: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Passages made of the windows of `least` words at the anchors' two places in a: (first word, the same, words)."""
+    starts = np.append(0, np.flatnonzero(np.frombuffer(a, np.uint8) == 32) + 1)
+    at = np.unique(np.searchsorted(starts, np.array(anchors).ravel()))
+    run = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    return [(int(r[0]), int(r[0]), int(r[-1] - r[0]) + least) for r in run]
+
+
 def _span(places: list[tuple[int, int]], first: int, words: int) -> tuple[int, int]:
     return places[first][0], places[first + words - 1][1]
 
@@ -123,25 +219,37 @@ def repeated_passages(docs: DataFrame, least: int = WORDS) -> DataFrame:
     Null and empty texts share nothing; rows with a null doc_id take no part; rows that repeat a
     doc_id count as one document. Other columns are not read.
     """
-    chunk = stored(chunked(docs), "chunks")
-    each = chunk.select("doc_id", F.explode(F.arrays_zip("digest", "start", "length")).alias("c")).select("doc_id", "c.digest", "c.start", "c.length")
-    repeated = each.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") < F.col("last"))
-    anchors = each.join(repeated.select("digest", "first"), "digest").where(F.col("doc_id") != F.col("first.doc_id"))
-    lines = anchors.groupBy("doc_id", F.col("first.doc_id").alias("first_doc_id"), (F.col("start") - F.col("first.start")).alias("shift")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
-    lines = lines.where(F.col("end") - F.col("start") >= ANCHORED)
-    pairs = stored(lines.groupBy("doc_id", "first_doc_id").agg(F.collect_list(F.struct("start", (F.col("start") - F.col("shift")).alias("there"))).alias("anchors")), "passage-pairs")
-
-    wanted = stored(pairs.select("doc_id").union(pairs.select("first_doc_id")).distinct(), "passage-documents")
+    block = stored(blocks(docs, least), "blocks")
+    each = block.select("doc_id", F.explode(F.arrays_zip("key", "digest", "start")).alias("b")).select("doc_id", "b.key", "b.digest", "b.start")
+    met = each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
+    likely = stored(each.join(met, "key").select("doc_id", "digest", "start"), "passage-blocks")
+    owner = likely.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+    placed = stored(likely.join(owner, "digest").select("doc_id", "start", "first", "last"), "passage-places")
+    packed = ((F.col("start").cast("long") * (1 << 32)) + F.col("first.start")).alias("anchor")
+    known = placed.where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id", F.col("first.doc_id").alias("first_doc_id"), packed)
+
+    wanted = stored(likely.select("doc_id").distinct(), "passage-documents")
     chosen = wanted.select(F.col("doc_id").alias("_id"))
     found = texts(docs).join(sized(chosen, wanted.count()), F.col("doc_id") == F.col("_id"), "left_semi")
     found = stored(found.groupBy("doc_id").agg(F.min("text").alias("text")), "passage-texts")
+    owned = placed.where(F.col("doc_id") == F.col("first.doc_id"))
+    owned = owned.groupBy("doc_id").agg(F.collect_list(F.col("start").cast("long") * 2 + (F.col("last") > F.col("doc_id")).cast("long")).alias("places"))
+    window = stored(windows(found.join(owned, "doc_id"), least), "passage-windows")
+    each = window.select("doc_id", F.explode(F.arrays_zip("digest", "start", "shared")).alias("w")).select("doc_id", "w.digest", "w.start", "w.shared")
+    holder = each.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.max("shared").alias("shared"), F.count("*").alias("n"))
+    holder = holder.where((F.col("first.doc_id") < F.col("last")) | (F.col("shared") & (F.col("n") > 1))).select("digest", "first")
+    more = each.join(holder, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    more = more.select("doc_id", F.col("first.doc_id").alias("first_doc_id"), packed)
+    pairs = stored(known.union(more).groupBy("doc_id", "first_doc_id").agg(F.collect_list("anchor").alias("anchors")), "passage-pairs")
     both = pairs.join(found, "doc_id").join(found.select(F.col("doc_id").alias("first_doc_id"), F.col("text").alias("first_text")), "first_doc_id")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, first_id, near, text, first_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = common_passages(normal(text), normal(first_text), [(x["start"], x["there"]) for x in near], least)
+            for k, (doc_id, first_id, text, first_text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
+                near = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+                near = list(zip((near >> 32).tolist(), (near & 0xFFFFFFFF).tolist(), strict=True))
+                found = own_passages(normal(text), near, least) if doc_id == first_id else common_passages(normal(text), normal(first_text), near, least)
                 if found:
                     here, there = ([m.span() for m in _WORD.finditer(t)] for t in (text, first_text))
                 for i, j, words in found:
