@@ -38,3 +38,15 @@ def test_edits_of_equal_length(spark):
         docs.append((100 + k, " ".join(text)))
     got, want = held(spark, docs)
     assert got == want and {d for d, _ in want} == {d for d, _ in docs}
+
+
+def test_repetitive_passages(spark):
+    """Passages of any period, among other words, in two documents each and of different lengths."""
+    rng, words = maker(2)
+    docs = []
+    for k in range(40):
+        unit = ["".join(rng.choice("abcdefgh") for _ in range(4)) + str(k)] if k % 2 else words(rng.randint(2, 12))
+        for side in range(2):
+            docs.append((k + 100 * side, " ".join(words(10) + (unit * 150)[: rng.randint(60, 150)] + words(10))))
+    got, want = held(spark, docs)
+    assert got == want and {d for d, _ in want} == {d for d, _ in docs}
