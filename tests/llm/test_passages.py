@@ -50,3 +50,15 @@ def test_repetitive_passages(spark):
             docs.append((k + 100 * side, " ".join(words(10) + (unit * 150)[: rng.randint(60, 150)] + words(10))))
     got, want = held(spark, docs)
     assert got == want and {d for d, _ in want} == {d for d, _ in docs}
+
+
+def test_pieces_of_different_first_documents(spark):
+    """Two lines of 30 words, each first in a document of its own, are one passage of the two documents that hold both."""
+    _, words = maker(3)
+    docs = []
+    for k in range(40):
+        one, two = words(30), words(30)
+        docs += [(10 * k, " ".join(words(5) + one + words(5))), (10 * k + 1, " ".join(words(5) + two + words(5)))]
+        docs += [(10 * k + 2 + i, " ".join(words(7) + one + two + words(7))) for i in range(2)]
+    got, want = held(spark, docs)
+    assert got == want and {d for d, _ in want} == {d for d, _ in docs if d % 10 > 1}
