@@ -277,17 +277,25 @@ def merge_hits(parts: list[DataFrame], key: str, score: str, k: int) -> DataFram
     return all_hits.groupBy(key).agg(F.min(score).alias(score)).orderBy(score, key).limit(k)
 
 
+#: Queries that one batch search broadcasts, and the rows and queries of a block beyond that.
+QUERIES_AT_ONCE = 10_000
+
+
 def nearest_batch(index: SearchIndex, queries: DataFrame, query_key: str, query_vector: str, k: int, metric: str | None = None) -> DataFrame:
-    """The exact k nearest of each row of queries, a set of checked size: query_key, rank, key, __vec_score.
+    """The exact k nearest of each row of queries: query_key, rank, key, __vec_score.
 
-    The queries are broadcast; beyond 10,000 of them the call is refused, as they would have to be
-    searched in parts. Each task keeps k rows a query before the shuffle.
+    Up to QUERIES_AT_ONCE queries are broadcast. More of them, and the rows, go into blocks, and each
+    block of rows meets each block of queries. Each task keeps k rows a query before the shuffle.
     """
-    n = queries.count()
-    if n > 10_000:
-        raise SearchError("search at most 10000 queries at a time")
-    q = F.broadcast(queries.select(F.col(query_key).alias("_q"), F.col(query_vector).alias("_v")))
-    pairs = index.rows.join(q, F.size(F.col(index.vector)) == F.size("_v"))
+    n, q = queries.count(), queries.select(F.col(query_key).alias("_q"), F.col(query_vector).alias("_v"))
+    same = F.size(F.col(index.vector)) == F.size("_v")
+    if n <= QUERIES_AT_ONCE:
+        pairs = index.rows.join(F.broadcast(q), same)
+    else:
+        blocks, parts = -(-n // QUERIES_AT_ONCE), max(1, -(-index.rows.count() // QUERIES_AT_ONCE))
+        q = q.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = index.rows.withColumn("_part", F.pmod(F.xxhash64(index.key), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = rows.join(q, (rows["_block"] == q["_block"]) & (rows["_part"] == q["_part"]) & same)
     scored = pairs.select("_q", index.key, vectors.distance(metric or index.metric, F.col(index.vector), F.col("_v")).alias("__vec_score"))
     w = Window.partitionBy("_q").orderBy("__vec_score", index.key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("_q", query_key)

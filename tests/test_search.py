@@ -97,3 +97,18 @@ def test_filter_reaches_the_scan(spark):
     plan = S.search(index, S.num("n_chars", 500, 900), returns=["n_chars"])._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(n_chars" in plan.replace("(cast(", "(") or "PushedFilters" in plan
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_batch_search_of_many_queries(spark):
+    """More queries than are broadcast at once: each gets the same answer as over all pairs."""
+    n, points = 10_050, [(i, [float(i * 37 % 101), float(i * 53 % 89)]) for i in range(20)]
+    index = S.SearchIndex("many", spark.createDataFrame(points, "id long, v array<float>"), "id", vector="v", dim=2)
+    queries = spark.range(n).selectExpr("id AS query_id", "array(CAST(id % 101 AS FLOAT), CAST(id % 89 AS FLOAT)) AS q")
+    got = {}
+    for r in S.nearest_batch(index, queries, "query_id", "q", 2).collect():
+        got[r.query_id, r["rank"]] = r.id
+    want = {}
+    for d in range(n):
+        best = sorted(((v[0] - d % 101) ** 2 + (v[1] - d % 89) ** 2, i) for i, v in points)[:2]
+        want |= {(d, k + 1): i for k, (_, i) in enumerate(best)}
+    assert got == want
