@@ -19,11 +19,21 @@ def shared(spark: SparkSession, name: str) -> str:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream gives for all its input, as a table."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared(spark, name)).trigger(availableNow=True).start()
+    """What the stream gives for all its input, as a table: each batch is a Parquet folder by its number.
+
+    A batch that is run again takes its own place. In complete mode the last batch is the whole table.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    out, written = shared(spark, "stream-out"), set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        written.add(number)
+
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", shared(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    wanted = sorted(written)[-1:] if mode == "complete" else sorted(written)
+    return spark.read.schema(schema).parquet(*(f"{out}/{number}" for number in wanted)) if wanted else spark.createDataFrame([], schema)
 
 
 def event_stream(spark, sf_dir):
