@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, gathered, sized, stored, texts
+from .common import fresh, gathered, parted, result, sized, slices, stored, texts
 from .shingles import bags, mix, units
 
 #: Bands and their components, and components in all: those beyond the bands sharpen the estimate.
@@ -34,7 +34,7 @@ SIMILARITY, ESTIMATE = 0.8, 0.70
 WIDE, WIDE_ESTIMATE = 1024, 0.75
 #: Nodes of a block of a bucket, and rounds of forests before all likely pairs are verified.
 BLOCK, FORESTS = 1000, 1
-_STEP = 400  # texts hashed at once
+_STEP, _SIZE = 400, 1 << 20  # texts hashed at once, and their bytes unless one alone is longer
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,14 +109,12 @@ def sketch(docs: DataFrame) -> DataFrame:
     """For every document its text's digest, band keys and signature at one byte a component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, _STEP):
-                b = whole.slice(at, _STEP)
-                sig, some = signatures(b.column(2).to_pylist())
-                keys, small = band_keys(sig), (sig & np.uint64(255)).astype(np.uint8)
-                ends = np.append(0, np.cumsum(some * BANDS)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array([small[i].tobytes() if some[i] else None for i in range(len(some))], pa.binary())], names=["doc_id", "node", "bands", "sig"])
+        for b in slices(batches, 2, _STEP, _SIZE):
+            sig, some = signatures(b.column(2).to_pylist())
+            keys, small = band_keys(sig), (sig & np.uint64(255)).astype(np.uint8)
+            ends = np.append(0, np.cumsum(some * BANDS)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array([small[i].tobytes() if some[i] else None for i in range(len(some))], pa.binary())], names=["doc_id", "node", "bands", "sig"])
 
     addressed = texts(docs).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     return addressed.mapInArrow(run, "doc_id long, node binary, bands array<long>, sig binary")
@@ -133,14 +131,12 @@ def bag_arrays(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """node and bag (its units' hashes) for the nodes in wanted: node and one doc_id that has the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, _STEP):
-                b = whole.slice(at, _STEP)
-                sh, weight, n = bags(b.column(1).to_pylist())
-                u, of = units(sh, weight)
-                owner = np.repeat(np.arange(len(n)), n)[of]
-                ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(n)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64)))], names=["node", "bag"])
+        for b in slices(batches, 1, _STEP, _SIZE):
+            sh, weight, n = bags(b.column(1).to_pylist())
+            u, of = units(sh, weight)
+            owner = np.repeat(np.arange(len(n)), n)[of]
+            ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(n)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64)))], names=["node", "bag"])
 
     return fetched(docs, wanted, rows).mapInArrow(run, "node binary, bag array<long>").groupBy("node").agg(F.first("bag").alias("bag"))
 
@@ -151,22 +147,20 @@ def wide_signatures(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     step = _STEP * COMPONENTS // WIDE  # as many points at once as for the first signatures
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                small = (signatures(b.column(1).to_pylist(), WIDE)[0] & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "sig"])
+        for b in slices(batches, 1, step, _SIZE * COMPONENTS // WIDE):
+            small = (signatures(b.column(1).to_pylist(), WIDE)[0] & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "sig"])
 
     return fetched(docs, wanted, rows).mapInArrow(run, "node binary, sig binary").groupBy("node").agg(F.first("sig").alias("sig"))
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap by `similarity` of their union; stored."""
+    """The pairs (a, b) whose bags overlap by `similarity` of their union."""
     wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "doc_id"), "node"), "wanted")
     bag = stored(bag_arrays(docs, wanted, wanted.count()), "bags")
     both = bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).join(sized(pairs, pairs.count()), "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     common = F.size(F.array_intersect("bag_a", "bag_b"))
-    return stored(both.where(common >= similarity * (F.size("bag_a") + F.size("bag_b") - common)).select("a", "b"), "edges")
+    return both.where(common >= similarity * (F.size("bag_a") + F.size("bag_b") - common)).select("a", "b")
 
 
 def _unbiased(share):
@@ -227,13 +221,13 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     moved = sized(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), n)
     kept = before.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh_ = labels.join(sized(before.select("node"), before.count()), "node", "left_anti")
-    return stored(kept.unionByName(fresh_), "labels")
+    return kept.unionByName(fresh_)
 
 
-def across(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """Likely pairs (a, b) of nodes that share a bucket but not a component: all of them, told by
-    wide signatures and each in the first bucket that the two share; or with `forest` only those
-    of greatest estimate that join a group's components into trees.
+def across(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, forest: bool) -> DataFrame:
+    """Likely pairs (a, b) of nodes that share a bucket but not a component, but for those tested
+    before: all of them, told by wide signatures and each in the first bucket that the two share;
+    or with `forest` only those of greatest estimate that join a group's components into trees.
 
     In a bucket, the members of its largest component are compared with the others only. Members
     are dealt into blocks of about BLOCK; a group is two blocks, so that no group grows with a
@@ -321,49 +315,65 @@ def across(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFr
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in group(held)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    pairs = rows.mapInArrow(run, "a binary, b binary").distinct()
+    return pairs.join(sized(tested, tested.count()), ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for every document: doc_id, class_id (the class's least doc_id) and class_size (its rows).
-
-    Classes are the components of the links between documents whose five-word multisets overlap by
-    `similarity` or more; the same texts are always in one class. Words are runs of letters and
-    digits, in lower case; a text of 1 to 4 words is one shingle. Texts without a word, null texts
-    counting as empty, are alike only if they are the same. Null ids keep a row and never name a
-    class unless it has no other. Other columns are not read.
-    """
+def classified(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, node, class_id and class_size for every document, and `first`: whether its class is named after a row of this id and text."""
+    spark = docs.sparkSession
     sketched = stored(sketch(docs), "sketches")
     nodes = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     members = stored(keyed.join(buckets, "key"), "members")
-    star = stored(likely(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes), "star")
-    found, tested = verified(docs, nodes, star, similarity), star
-    labels = components(found)
+    tested = star = result(spark, "star", lambda: likely(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes))
+    found = result(spark, "edges", lambda: verified(docs, nodes, star, similarity))
+    labels = result(spark, "labels", lambda: components(found))
     for forest in (*[True] * FORESTS, False):
-        more = stored(across(docs, members, labels, nodes, forest).join(sized(tested, tested.count()), ["a", "b"], "left_anti"), "across")
+        more = result(spark, "across", lambda: across(docs, members, labels, nodes, tested, forest))  # noqa: B023  run at once
         if not more.isEmpty():
-            found = verified(docs, nodes, more, similarity)
-            labels, tested = components(found, labels), tested.unionByName(more)
+            found = result(spark, "edges", lambda: verified(docs, nodes, more, similarity))  # noqa: B023
+            labels, tested = result(spark, "labels", lambda: components(found, labels)), tested.unionByName(more)  # noqa: B023
     labelled = nodes.select("node", "doc_id", "copies").join(sized(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = stored(labelled.select("node", "label").join(classes, "label").select("node", "class_id", "class_size"), "classes")
-    return sketched.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "class_size")
+    named = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("named")
+    classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), named)
+    of_node = labelled.select("node", "label").join(classes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("named.node")).alias("first"))
+    rows = sketched.select("doc_id", "node").join(stored(of_node, "classes"), "node")
+    return rows.select("doc_id", "node", "class_id", "class_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for every document: doc_id, class_id (the class's least doc_id) and class_size (its rows).
+
+    Classes are the components of the links between documents whose five-word multisets overlap by
+    `similarity` or more; the same texts are always in one class. Words are runs of letters and
+    digits, in lower case; a text of 1 to 4 words is one shingle. Texts without a word, null texts
+    counting as empty, are alike only if they are the same. Null ids keep a row and never name a
+    class unless it has no other. Other columns are not read. An empty table gives no row.
+    """
+    return result(docs.sparkSession, "document-classes", lambda: classified(docs, similarity).select("doc_id", "class_id", "class_size"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with all its columns, one document of each class: that whose doc_id names it.
+    """docs with all its columns, one row of each class: of its least doc_id, and there of the least digest of the text.
 
-    Rows that repeat that doc_id are reduced to one. Documents with a null doc_id stay only if
-    their class has no other.
+    Rows are told apart by doc_id and text: of rows that repeat both, one stays. Rows with a null
+    doc_id stay only if their class has no other. Only rows that may go meet in a shuffle; the
+    others are told by a broadcast filter of bounded size and stay where they are.
     """
-    classes = stored(near_duplicates(docs, similarity), "document-classes")
-    name = fresh(docs, "kept_id")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    if kept.where("n > 1").isEmpty():
-        return single
-    repeated = docs.join(kept.where("n > 1").select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    # rows with one id: one of each text, for ids that stand for several classes
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    row_key = lambda node: F.concat(node, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary"))
+    key = fresh(docs, "row_key")
+
+    def told() -> DataFrame:
+        rows = classified(docs, similarity).groupBy(row_key(F.col("node")).alias(key)).agg(F.first("first").alias("first"), F.count("*").alias("n"))
+        return rows.where("n > 1 or not first").select(key, "first")
+
+    special = result(docs.sparkSession, "special-rows", told)
+    n = special.count()
+    if not n:
+        return docs
+    alone, rest = parted(docs.withColumn(key, row_key(digest)), key, special.select(key), n)
+    rest = rest.dropDuplicates([key]).join(special.where("not first").select(key), key, "left_anti").select(*alone.columns)
+    return alone.unionByName(rest).drop(key)

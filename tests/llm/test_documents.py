@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import decontaminate, near_dedup, shingles, substring_dedup
@@ -133,6 +134,41 @@ def test_near_duplicates_odd_documents(odd_docs, no_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 4, 5, 6, 7, None]
 
 
+def test_one_row_of_a_class_stays(spark):
+    """Rows are told by id and text: (5, B) is a copy of (3, B) though (5, A) is kept; repeated rows and null ids go."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "some other words than those"
+    docs = [(3, b), (5, a), (5, b), (7, c), (7, c), (None, a), (None, "alone"), (None, "alone"), (9, None), (8, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(docs)], "doc_id long, text string, row_key int")
+    out = near_dedup.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, b), (5, a), (7, c), (None, "alone"), (8, "")], key=str)
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    from millrace.llm import common
+
+    made = iter(range(1000))
+    monkeypatch.setattr(common, "scratch", lambda _, name: f"file://{tmp_path}/{name}-{next(made)}")
+    df = spark.createDataFrame(corpus(3, 60), "doc_id long, text string")
+    assert near_dedup.near_duplicates(df).count() == 60
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["document-classes"]
+    near_dedup.keep_one(df).collect()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["document-classes", "special-rows"]
+
+
+def test_filter_loses_no_key(spark, monkeypatch):
+    from millrace.llm import common
+
+    df = spark.range(3000).withColumnRenamed("id", "k").withColumn("filter_page", F.lit("clash"))
+    keys = spark.range(0, 3000, 7).withColumnRenamed("id", "k")
+    for bits in (1 << 15, 1 << 28):  # full, and wide
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        alone, rest = common.parted(df, "k", keys, 429)
+        got, more = {r.k for r in alone.collect()}, {r.k for r in rest.collect()}
+        assert alone.columns == rest.columns == df.columns and not got & more and len(got) + len(more) == 3000
+        assert set(range(0, 3000, 7)) <= more and len(more) < 600
+
+
 def leaks(docs, items, least=0.8):
     out = set()
     for d, t in docs:
