@@ -19,24 +19,26 @@ from pyspark.sql import functions as F
 RESOLUTIONS = (4, 16)
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 512
-#: Quantised components are held within this bound, so that a score fits in 64 bits.
-LARGEST = 1 << 27
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and v: floor(256 x) of each component as double.
+    """vec_id and v: floor(256 x) of each component as double, which holds it exactly whatever its size.
 
     Vectors that are null or empty of an id, or hold null or non-finite components, take no part.
-    Components beyond 2**19 in size count as 2**19. Repeated rows stay.
+    Repeated rows stay.
     """
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    held = lambda c: F.least(F.greatest(F.floor(256 * c.cast("double")).cast("double"), F.lit(-float(LARGEST))), F.lit(float(LARGEST)))
-    return vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, held).alias("v"))
+
+    def whole(c):  # from 2**52 on every double is an integer
+        scaled = 256 * c.cast("double")
+        return F.when(F.abs(scaled) < float(1 << 52), F.floor(F.when(F.abs(scaled) < float(1 << 52), scaled)).cast("double")).otherwise(scaled)
+
+    return vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Vectors of one dimension packed into rows of at most `rows`: name (an id), dim, ids and data."""
+    """Vectors (the last column; longs before it) of one dimension packed into rows of at most `rows`: name (an id), dim, ids and data."""
 
     def emit(dim: int, ids: list, parts: list) -> pa.RecordBatch:
         data = np.stack(parts) if dim else np.zeros((len(ids), 0))
@@ -45,12 +47,12 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            v = batch.column(1)
+            *keys, v = batch.columns
             flat, ends = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
-            for i, vec_id in enumerate(batch.column(0).to_pylist()):
+            for i, key in enumerate(zip(*(k.to_pylist() for k in keys), strict=True)):
                 x = flat[ends[i] : ends[i + 1]]
                 ids, parts = held.setdefault(len(x), ([], []))
-                ids.append(vec_id)
+                ids.append(key)
                 parts.append(x)
                 if len(ids) == rows:
                     yield emit(len(x), ids, parts)
@@ -72,52 +74,59 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(m), dev * np.sqrt(m)], axis=1)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in a block: query ids, candidate ids, scores."""
+def _products(rows: np.ndarray, x: np.ndarray, largest: float) -> np.ndarray:
+    """Exact integer products of the rows with x, the nearest 64-bit number for those beyond; `largest` bounds each sum of absolute products."""
+    if largest < 2**53:
+        return (rows @ x).astype(np.int64)
+    if largest < 2**62:
+        return rows.astype(np.int64) @ x.astype(np.int64)
+    whole = [int(v) for v in x]
+    exact = (sum(int(v) * w for v, w in zip(r, whole, strict=True)) for r in rows)
+    return np.array([min(max(p, -(1 << 63)), (1 << 63) - 1) for p in exact], np.int64)
+
+
+def search_block(q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query in a block, ties to the smaller id: rows of q, candidate ids, scores."""
     found: tuple[list, list, list] = ([], [], [])
-    if q.shape[1] == 0:
-        levels = []
-    else:
-        levels = [(statistics(q, s), statistics(c, s)) for s in RESOLUTIONS]
+    levels = [(statistics(q, s), statistics(c, s)) for s in RESOLUTIONS] if q.shape[1] else []
     norm_q, norm_c = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
     slack = 1e-9 * norm_q * norm_c.max(initial=0) + 1e-6
-    exact = np.int64 if len(c) and q.shape[1] * max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) >= 2**53 else np.float64
-    qx, cx = q.astype(exact), c.astype(exact)
+    highest = q.shape[1] * np.abs(c).max(initial=1)
+    n = min(k, len(c))
     coarse = levels[0][0] @ levels[0][1].T if levels else np.zeros((len(q), len(c)))
-    for i in range(len(q)):
-        others = c_ids != q_ids[i]
-        bound = np.where(others, coarse[i], -np.inf)
-        n = min(k, int(others.sum()))
-        if not n:
-            continue
-        seeds = np.argpartition(-bound, n - 1)[:n]
-        least = (cx[seeds] @ qx[i]).min()  # the n-th best score is no less
-        alive = np.flatnonzero(bound >= float(least) - slack[i])
+    for i in range(len(q) if n else 0):
+        largest = float(highest * np.abs(q[i]).max(initial=1))
+        seeds = np.argpartition(-coarse[i], n - 1)[:n]
+        least = float(min(_products(c[seeds], q[i], largest)))  # the n-th best score is no less
+        alive = np.flatnonzero(coarse[i] >= least - slack[i])
         if levels:
             fine = levels[1][1][alive] @ levels[1][0][i]
-            alive = alive[fine >= float(least) - slack[i]]
-        score = cx[alive] @ qx[i]
-        best = np.lexsort((c_ids[alive], -score))[:n]
-        found[0].append(np.full(len(best), q_ids[i]))
+            alive = alive[fine >= least - slack[i]]
+        score = _products(c[alive], q[i], largest)
+        best = np.lexsort((c_ids[alive], ~score))[:n]  # ~ turns the order round for every 64-bit number
+        found[0].append(np.full(n, i))
         found[1].append(c_ids[alive[best]])
-        found[2].append(score[best].astype(np.int64))
+        found[2].append(score[best])
     return tuple(np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64) for f in found)
 
 
 def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k rows of the highest integer inner product with each query, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by `every`; candidates all rows with another
-    id and the same dimension. Queries and candidates meet in blocks: each block of candidates is
-    sent once to every block of queries, and yields k rows for each query. Columns: query_id,
-    rank from 1, vec_id, score. A repeated query row is one query; repeated candidates are
-    candidates of their own. An empty table gives no row.
+    Queries are the rows whose vec_id is divisible by `every`; candidates all rows of the same
+    dimension but the query's own. Queries and candidates meet in blocks: each block of candidates
+    is sent once to every block of queries, and yields k + 1 rows for each query, its own among
+    them. Columns: query_id, rank from 1, vec_id, score. Rows that share an id with different
+    vectors are queries of their own, each with ranks from 1; a repeated row is one query, and its
+    repetitions are candidates. Scores beyond 64 bits count as the nearest 64-bit number, and tie. An empty
+    table gives no row.
     """
     spark = vectors.sparkSession
     ready = quantised(vectors)
     total = vectors.count()
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = ready.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # as few as one in `every`
+    asked = ready.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates()  # as few as one in `every`
+    asked = asked.select("vec_id", F.xxhash64("vec_id", "v").alias("tag"), "v")
     queries = _blocks(asked.repartition(-(-total // (every * QUERIES)) or 1), QUERIES, "q")
     candidates = _blocks(ready.repartition(-(-total // CANDIDATES) or 1), CANDIDATES, "c")
     # a share of the candidates meets all queries; the shares are even
@@ -128,10 +137,17 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shaped = lambda n, r=row: (np.frombuffer(r[f"{n}_ids"], "<i8"), np.frombuffer(r[f"{n}_data"], "<f8").reshape(-1, r["c_dim"]) if r["c_dim"] else np.zeros((len(r[f"{n}_ids"]) // 8, 0)))
-                got = search_block(*shaped("q"), *shaped("c"), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "score"])
-
-    part = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8").reshape(-1, 2), np.frombuffer(row["c_ids"], "<i8")
+                q, c = (np.frombuffer(row[f"{n}_data"], "<f8").reshape(len(ids), row["c_dim"]) for n, ids in (("q", q_ids), ("c", c_ids)))
+                at, ids, scores = search_block(q, c_ids, c, k + 1)
+                own = np.array([_products(x[None, :], x, float((x * x).sum()))[0] for x in q])
+                same = (ids == q_ids[at, 0]) & (scores == own[at])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[at, 0], q_ids[at, 1], ids, scores, same.astype(np.int64))], names=["query_id", "tag", "vec_id", "score", "own"])
+
+    part = met.mapInArrow(search, "query_id long, tag long, vec_id long, score long, own long")
+    best = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), "vec_id")
+    first = part.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    # of the rows that are like the query's own, the first is taken for it
+    told = first.withColumn("owns", F.sum("own").over(Window.partitionBy("query_id", "tag").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = told.where("own = 0 or owns > 1").withColumn("rank", (F.col("n") - F.least("owns", F.lit(1))).cast("int"))
+    return kept.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

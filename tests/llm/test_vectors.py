@@ -9,16 +9,17 @@ from millrace.llm import vector_topk
 
 def brute(rows, k=5, every=50):
     ready = []
-    for i, v in rows:
+    for n, (i, v) in enumerate(rows):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ready.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
+            ready.append((n, i, [math.floor(256 * float(np.float32(x))) for x in v]))
     out, seen = [], set()
-    for q, v in ready:
-        if q % every or q in seen:
+    for n, q, v in ready:
+        if q % every or (q, tuple(v)) in seen:
             continue
-        seen.add(q)
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in ready if c != q and len(w) == len(v))[:k]
-        out += [(q, n, c, -s) for n, (s, c) in enumerate(scored, 1)]
+        seen.add((q, tuple(v)))
+        held = lambda x: max(min(x, 2**63 - 1), -(2**63))
+        scored = sorted((-held(sum(a * b for a, b in zip(v, w, strict=True))), c) for m, c, w in ready if m != n and len(w) == len(v))[:k]
+        out += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
     return sorted(out)
 
 
@@ -53,3 +54,20 @@ def test_bounds_hold():
 def test_large_components_are_exact(spark):
     rows = [(0, [1e5, -2e5, 3.5]), (1, [1e5, 1e5, 0.1]), (2, [-1e5, 3e5, 0.2])]
     assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows)
+    rows = [(0, [1e6, 1.0]), (1, [1e6, 2.0]), (2, [1e6, -3.0])]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows)
+    assert brute(rows)[0] == (0, 1, 1, 65536000000131072)
+    rng = random.Random(7)
+    for size in (1e7, 1e9, 1e15, 1e30):
+        rows = [(i, [rng.uniform(-size, size) for _ in range(6)]) for i in range(60)] + [(100, [1.0] * 6)]
+        assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows)
+
+
+def test_only_the_own_row_is_no_candidate(spark, monkeypatch):
+    rng = random.Random(3)
+    some = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(rng.choice([0, 50, 100, 7, 8]), rng.choice(some)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert run(df) == brute(rows)
+    monkeypatch.setattr(vector_topk, "CANDIDATES", 7)
+    assert run(df) == brute(rows)
