@@ -9,7 +9,7 @@ once and tells each insult or threat as plain, targeted, negated or reported. Th
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, id_crc, texts
+from .common import hashed_sample, id_crc, slices, steps, stored, texts
 
 #: Labelled documents of each class that the lexicon and the weights are learned from, at most.
 SAMPLE_DOCS = 4000
@@ -130,7 +130,8 @@ class Grammar:
             first = at - n + 1
             if first <= done or (first and (low[first - 1].isalnum() or low[first - 1] == "_")):
                 continue
-            a = max(low.rfind(c, 0, first) for c in ".!?;:\n") + 1
+            # the clause begins after the last of these marks, or where the search last ended
+            a = max(max(low.rfind(c, done + 1, first) for c in ".!?;:\n"), done) + 1
             clause = _CLAUSE.match(low, a)
             found += self.clause(clause[0])
             done = clause.end()
@@ -145,27 +146,27 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(x @ self.weights + self.bias)))
 
 
-def learn_lexicon(docs: list[tuple[set[str], int]], least: int = 3, purity: float = 0.97) -> Lexicon:
+def learn_lexicon(docs: DataFrame, least: int = 3, purity: float = 0.97) -> Lexicon:
     """Entries that tell toxic documents, by set cover: again and again the one that covers most of those left.
 
-    An entry is a word or a word beginning of 4 to 7 letters. It must be in `least` toxic documents
-    and, scaled to equal classes, hold `purity` of its documents on the toxic side; of entries that
-    cover the same, the longest beginning is taken.
+    docs has row (a number of its own), words (an array, each once) and toxic. An entry is a word or
+    a word beginning of 4 to 7 letters. It must be in `least` toxic documents and, scaled to equal
+    classes, hold `purity` of its documents on the toxic side; of entries that cover the same, the
+    longest beginning is taken. Entries are counted by Spark; the driver gets those that are pure
+    enough with the toxic documents of the sample that have them.
     """
-    toxic: dict[str, set[int]] = defaultdict(set)
-    clean: Counter = Counter()
-    n = [0, 0]
-    for i, (words, label) in enumerate(docs):
-        n[label] += 1
-        entries = {e for w in words for e in (w, *(w[:k] + "*" for k in range(4, min(7, len(w)) + 1)))}
-        if label:
-            for e in entries:
-                toxic[e].add(i)
-        else:
-            clean.update(entries)
-    if not n[0] or not n[1]:
+    n = {r["toxic"]: r["count"] for r in docs.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
         return Lexicon([*SEEDS])
-    able = {e: s for e, s in toxic.items() if len(s) >= least and len(s) / n[1] / (len(s) / n[1] + clean[e] / n[0]) >= purity}
+
+    def beginnings(k: int):
+        return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    each = docs.select("row", "toxic", F.explode(F.array_distinct(F.concat("words", *map(beginnings, range(4, 8))))).alias("entry"))
+    share = F.col("hits") / n[1]
+    counted = each.groupBy("entry").agg(F.sum("toxic").alias("hits"), F.sum(1 - F.col("toxic")).alias("clean"))
+    pure = counted.where((F.col("hits") >= least) & (share / (share + F.col("clean") / n[0]) >= purity)).select("entry")
+    able = {r["entry"]: set(r["rows"]) for r in each.where("toxic = 1").join(pure, "entry").groupBy("entry").agg(F.collect_set("row").alias("rows")).collect()}
     order = sorted(able, key=lambda e: (-len(able[e]), -len(e), e))
     chosen, covered = [], set()
     while True:
@@ -213,17 +214,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int =
     sample = texts(docs).join(F.broadcast(chosen), "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [" ".join(sorted(set(_LETTERS.findall(t.lower())))) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(1)], names=["words", "toxic"])
+        for b in slices(batches, 1, 2000, 1 << 22):
+            found = [sorted(set(_LETTERS.findall(t.lower()))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), b.column(2)], names=["row", "words", "toxic"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "words string, toxic int").collect()
-    rows.sort()
-    lexicon = learn_lexicon([(set(r.words.split()), r.toxic) for r in rows])
+    # a row's number need only tell the sample's rows apart
+    numbered = sample.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("toxic").cast("int").alias("toxic"))
+    with steps(docs.sparkSession):
+        lexicon = learn_lexicon(stored(numbered.mapInArrow(words, "row long, words array<string>, toxic int"), "toxicity-words"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
-        for b in batches:
+        for b in slices(batches, 0, 2000, 1 << 22):
             x = [grammar.read(t).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
@@ -240,12 +242,13 @@ def score(docs: DataFrame, model: ToxicityModel, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
     Null and empty texts have no clause and get the score of the bias alone. A null doc_id stays
-    and counts as not held out; repeated rows each give a row; other columns are not read.
+    and counts as not held out; repeated rows each give a row; other columns are not read. An empty
+    table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.lexicon)
-        for b in batches:
+        for b in slices(batches, 2, 2000, 1 << 22):
             x = np.array([grammar.read(t) for t in b.column(2).to_pylist()]).reshape(-1, len(READINGS))
             s = model.scores(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
