@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 from .shingles import shingle_hashes, word_hashes
 
 K1, B = 1.2, 0.75
-#: Least share of an item's five-word shingles in a passage.
-OVERLAP, SHINGLE = 0.8, 5
+#: Least share of an item's five-word shingles in a passage, and of its question's and of its answer's.
+OVERLAP, PART, SHINGLE = 0.8, 0.5, 5
 #: Items of a block, of one index, and of one pass over the documents: the broadcast bounds grow with their product (some 50 MB a pass).
 BLOCK, SHARD, PASS = 8, 500, 5000
 
@@ -144,6 +144,8 @@ class ItemIndex:
             q = self.in_question[i]
             part = lambda mask, t=there: float(t[mask].mean()) if mask.any() else 1.0
             value = (float(score[i]), whole, part(q), part(~q))
+            if min(value[2:]) < PART:
+                continue
             key = (text, int(i))
             if key not in found or value[1] > found[key][1]:
                 found[key] = value
@@ -172,15 +174,18 @@ def search_texts(shards: list[ItemIndex], texts_: list[str]) -> list[tuple]:
     return [(t, s.ids[i], *rest) for s in shards for t, i, *rest in s.search(words, counts)]
 
 
-_STEP = 300
+_STEP, _SIZE = 300, 1 << 20
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """A row for every document and test item that it holds: doc_id, item_id, bm25, overlap, question_overlap, answer_overlap.
 
-    Clean documents have no row. bm25 is the item's score over its threshold, overlap the share of
-    its five-word shingles in one passage. Null and empty texts hold nothing; an item of 1 to 4
-    words is held where its words stand in a row. Null doc_ids and repeated rows keep their rows.
+    Clean documents have no row. A text holds an item if one passage has `overlap` of its five-word
+    shingles, and at least PART of those that lie in its question and PART of the others, which
+    touch its answer; a part without a shingle is held. bm25 is the item's score over its
+    threshold. Null and empty texts hold nothing; an item of 1 to 4 words is held where its words
+    stand in a row. Null doc_ids and repeated rows keep their rows; an empty table of either kind
+    gives none.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
@@ -190,20 +195,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             types = [pa.int64()] * 2 + [pa.float64()] * 4
-            for whole in batches:
-                for at in range(0, whole.num_rows, _STEP):
-                    b = whole.slice(at, _STEP)
-                    ids = b.column(0).to_pylist()
-                    rows = [(ids[t], *rest) for t, *rest in search_texts(index.value, b.column(1).to_pylist())]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
+            for b in slices(batches, 1, _STEP, _SIZE):
+                ids = b.column(0).to_pylist()
+                rows = [(ids[t], *rest) for t, *rest in search_texts(index.value, b.column(1).to_pylist())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
 
         parts.append(texts(docs).mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of docs, with all their columns, whose text holds no test item."""
+    """The rows of docs, with all their columns, whose text holds no test item as `contaminated` tells it; null and empty texts stay."""
     for shards in indexes(benchmark, overlap):
         index = docs.sparkSession.sparkContext.broadcast(shards)
 
@@ -211,11 +214,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP)
         def clean(text, index=index):
             import pandas as pd
 
-            good = np.ones(len(text), bool)
-            values = text.fillna("").tolist()
-            for at in range(0, len(values), _STEP):
-                for t, *_ in search_texts(index.value, values[at : at + _STEP]):
+            good, at = np.ones(len(text), bool), 0
+            column = pa.RecordBatch.from_arrays([pa.array(text.fillna(""), pa.string())], names=["text"])
+            for b in slices([column], 0, _STEP, _SIZE):
+                for t, *_ in search_texts(index.value, b.column(0).to_pylist()):
                     good[at + t] = False
+                at += b.num_rows
             return pd.Series(good)
 
         docs = docs.where(clean(F.col("text")))
