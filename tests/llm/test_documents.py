@@ -226,19 +226,34 @@ def test_contaminated_odd_documents(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == len(ODD) - 2
 
 
-def test_cuts_resist_insertions():
+def test_chunks_resist_insertions():
     rng = random.Random(3)
     text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000))
-    a = set(substring_dedup.chunks([text])[0].tolist())
-    b = set(substring_dedup.chunks([text[:5000] + " inserted words " + text[5000:]])[0].tolist())
-    assert len(a - b) <= 3 and len(b - a) <= 4
+
+    def digests(t):
+        w = substring_dedup.Windows([t], 50)
+        return set(w.hashes(w.at[w.first], w.size + 49).tolist())
+
+    a, b = digests(text), digests(text[:5000] + " inserted words " + text[5000:])
+    assert len(a) > 50 and len(a - b) <= 8 and len(b - a) <= 8
     data = np.frombuffer(text.encode(), np.uint8)
-    h, at = 0, []
+    h, rolled = 0, substring_dedup.rolled(data)
     for i, c in enumerate(data.tolist()):
-        h = (h << 1) + int(substring_dedup.GEAR[c]) & 0xFFFFFFFF
-        if i >= 15 and not h & int(substring_dedup.MASK):
-            at.append(i + 1)
-    assert set(substring_dedup.cuts(data).tolist()) <= set(at)  # a rolling hash gives the same places
+        h = (h << 1) + int(substring_dedup.GEAR[c]) & 0xFFFFFFFFFFFFFFFF
+        assert int(rolled[i]) == h  # as the rolling hash gives it, byte by byte
+
+
+def test_every_window_lies_in_a_chunk_and_has_its_own_mark():
+    """A window's mark is the same whatever stands around it, in texts of short and of long words."""
+    rng = random.Random(5)
+    for longest in (1, 2, 9):
+        word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, longest)))  # noqa: B023, E731
+        shared = [word() for _ in range(70)]
+        a, b = ([word() for _ in range(rng.randint(3, 60))] + shared + [word() for _ in range(9)] for _ in range(2))
+        x, y = (substring_dedup.Windows([" ".join(t)], 50) for t in (a, b))
+        at = [next(i for i in range(len(t)) if t[i : i + 70] == shared) for t in (a, b)]
+        assert x.key[at[0] : at[0] + 21].tolist() == y.key[at[1] : at[1] + 21].tolist()
+        assert int(x.size.sum()) == len(x.at) == len(a) - 49
 
 
 def test_repeated_passages_by_brute_force(spark):
@@ -279,6 +294,21 @@ def test_repeated_passages_odd_documents(spark, odd_docs, no_docs):
     assert substring_dedup.without_repeats(odd_docs).columns == odd_docs.columns
 
 
+def test_rows_of_one_id_stay_apart(spark):
+    """Two texts of one doc_id: what is cut out of one stays in the other, and a passage the two share counts."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    shared, alone, own, twice = text(60), text(90), text(20), text(70)
+    docs = [(1, shared), (2, f"{own} {shared}"), (2, alone), (2, alone), (7, twice), (7, f"{twice} {own}"), (-5, f"{text(5)} {alone} x"), (None, shared)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(df).collect()}
+    assert rows == {(1, 1), (2, 1), (-5, -5), (2, -5), (7, 7)}
+    out = sorted(((r.doc_id, r.text.strip()) for r in substring_dedup.without_repeats(df).collect()), key=str)
+    left = [t for d, t in out if d == 7]
+    assert [t for d, t in out if d == 2] == sorted(["", "", own], key=str) and (None, shared) in out and (1, shared) in out
+    assert sorted(left) in (sorted([twice, own]), sorted(["", f"{twice} {own}"]))
+
+
 def test_pipeline_runs_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
     """run() over null, empty, long, repeated and clashing rows, and over no rows at all."""
     for name, docs in (("odd", odd_docs), ("none", no_docs)):

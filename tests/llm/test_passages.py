@@ -1,6 +1,7 @@
 """Substring dedup word by word against all windows of 50 words."""
 
 import random
+import time
 
 from millrace.llm import substring_dedup
 
@@ -62,3 +63,38 @@ def test_pieces_of_different_first_documents(spark):
         docs += [(10 * k + 2 + i, " ".join(words(7) + one + two + words(7))) for i in range(2)]
     got, want = held(spark, docs)
     assert got == want and {d for d, _ in want} == {d for d, _ in docs if d % 10 > 1}
+
+
+def test_parts_held_by_earlier_documents(spark):
+    """A passage of 66 words whose first 45 and last 45 stand in earlier documents, under 50 words each."""
+    _, words = maker(4)
+    docs = []
+    for k in range(20):
+        passage = words(66)
+        docs += [(10 * k + 1, " ".join(words(6) + passage[:45] + words(6))), (10 * k + 2, " ".join(words(6) + passage[-45:] + words(6)))]
+        docs += [(10 * k + 3 + i, " ".join(words(8) + passage + words(8))) for i in range(2)]
+    got, want = held(spark, docs)
+    assert got == want and {d for d, _ in want} == {d for d, _ in docs if d % 10 > 2}
+
+
+def test_short_words(spark):
+    """Windows of fewer bytes than the rolling hash reaches."""
+    rng, _ = maker(5)
+    word = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)]
+    docs = []
+    for k in range(20):
+        passage = word(rng.randint(50, 60)) if k % 2 else ["a"] * rng.randint(50, 90)
+        docs += [(2 * k + i, " ".join(word(20) + passage + word(20))) for i in range(2)]
+    got, want = held(spark, docs)
+    assert got == want
+
+
+def test_long_periodic_texts_in_linear_time(spark):
+    took = []
+    for n in (2_000, 20_000, 80_000):
+        line = "an entry of a log that says the same thing over and over again "
+        docs = spark.createDataFrame([(1, line * (n // 12)), (2, "x " + line * (n // 12))], "doc_id long, text string")
+        began = time.time()
+        assert {r.doc_id for r in substring_dedup.repeated_passages(docs).collect()} == {1, 2}
+        took.append(time.time() - began)
+    assert took[2] < 6 * took[1]
