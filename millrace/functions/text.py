@@ -17,7 +17,8 @@ except ImportError:  # older Pythons
 
 def trigrams(text: Column) -> Column:
     """The distinct three-character substrings of a text."""
-    return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    # a look-ahead steps on by one character, so the text is passed over once
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def required_literals(pattern: str) -> tuple[str, list[str]]:

@@ -23,21 +23,36 @@ def fractured(reads: DataFrame, versions: DataFrame) -> DataFrame:
     return stale.join(versions.select("key", F.col("ts").alias("needed"), "value"), ["key", "needed"], "left").select("key", F.col("ts").alias("read_ts"), "needed", "value")
 
 
-def quorum(replies: DataFrame, request: str, reply: str, peer: str, arrival: str) -> DataFrame:
-    """For each request the reply of most peers (ties to the one that arrived first), how many gave it, and of how many."""
-    votes = replies.groupBy(request, reply).agg(F.count("*").alias("votes"), F.min(arrival).alias("first"))
+def _voters(replies: DataFrame, request: str, dc: str, local: str) -> DataFrame:
+    """The replies of the local datacenter; of all, for requests that have no target there."""
+    here = (F.col(dc) == local).cast("int")
+    return replies.withColumn("_local", F.max(here).over(Window.partitionBy(request))).where((here == 1) | (F.col("_local") == 0)).drop("_local")
+
+
+def quorum(replies: DataFrame, request: str, reply: str, dc: str, local: str, arrival: str) -> DataFrame:
+    """For each request the reply that a majority of the local peers gave, else the one that most of them gave.
+
+    A row of replies is a target; a null reply has not come. Ties go to the reply that arrived
+    first. votes says how many gave it, of how many local targets (peers). Without a local target
+    all targets vote. Requests without a reply among the voters have none.
+    """
+    voters = _voters(replies, request, dc, local)
+    votes = voters.groupBy(request, reply).agg(F.count("*").alias("votes"), F.min(arrival).alias("first"))
     w = Window.partitionBy(request)
-    ranked = votes.withColumn("n", F.row_number().over(w.orderBy(F.col("votes").desc(), "first", reply))).withColumn("peers", F.sum("votes").over(w))
-    return ranked.where("n = 1").select(request, reply, "votes", "peers", (F.col("votes") * 2 > F.col("peers")).alias("majority"))
+    came = F.col(reply).isNotNull()
+    ranked = votes.withColumn("peers", F.sum("votes").over(w)).withColumn("n", F.row_number().over(w.orderBy(came.desc(), F.col("votes").desc(), "first", reply)))
+    return ranked.where((F.col("n") == 1) & came).select(request, reply, "votes", "peers", (F.col("votes") >= F.floor(F.col("peers") / 2) + 1).alias("majority"))
 
 
 def first_reply(replies: DataFrame, request: str, reply: str, arrival: str) -> DataFrame:
     return replies.groupBy(request).agg(F.min_by(reply, arrival).alias(reply))
 
 
-def all_agree(replies: DataFrame, request: str, reply: str) -> DataFrame:
-    """The reply on which all peers agree; null where they do not."""
-    return replies.groupBy(request).agg(F.count_distinct(reply).alias("kinds"), F.min(reply).alias("reply")).select(request, (F.col("kinds") == 1).alias("agreed"), F.when(F.col("kinds") == 1, F.col("reply")).alias(reply))
+def all_agree(replies: DataFrame, request: str, reply: str, dc: str, local: str) -> DataFrame:
+    """The reply on which all local peers agree, once all have come; null where they do not. Without a local target all targets count."""
+    voters = _voters(replies, request, dc, local)
+    one = (F.count_distinct(reply) == 1) & (F.count(reply) == F.count("*"))
+    return voters.groupBy(request).agg(one.alias("agreed"), F.min(reply).alias("reply")).select(request, "agreed", F.when(F.col("agreed"), F.col("reply")).alias(reply))
 
 
 def agree_by_datacenter(replies: DataFrame, request: str, dc: str, reply: str, local: str) -> DataFrame:
@@ -88,19 +103,54 @@ def exchange(ours: DataFrame, theirs: DataFrame, key: str, version: str, segment
     return symmetric_difference(narrow(ours), narrow(theirs), key, version)
 
 
+def clock_order(ours: Column, theirs: Column) -> Column:
+    """`equal`, `after`, `before` or `concurrent` for two version vectors (maps of actor to counter); a missing actor counts as 0."""
+    actors = F.array_union(F.map_keys(ours), F.map_keys(theirs))
+    at = lambda clock, a: F.coalesce(clock[a], F.lit(0))
+    ahead, behind = F.exists(actors, lambda a: at(ours, a) > at(theirs, a)), F.exists(actors, lambda a: at(ours, a) < at(theirs, a))
+    return F.when(ahead & behind, "concurrent").when(ahead, "after").when(behind, "before").otherwise("equal")
+
+
+def repairs_by_clock(ours: DataFrame, theirs: DataFrame, key: str, clock: str, value: str) -> DataFrame:
+    """What to do for each key (key, clock, value on both sides) that differs: push or pull the later one; ambiguous where neither clock is later."""
+    a, b = (t.select(key, F.col(clock).alias(f"{n}_clock"), F.col(value).alias(n)) for t, n in ((ours, "ours"), (theirs, "theirs")))
+    both = a.join(b, key, "full_outer")
+    order = clock_order(F.col("ours_clock"), F.col("theirs_clock"))
+    action = F.when(F.col("theirs_clock").isNull(), "push").when(F.col("ours_clock").isNull(), "pull").when(order == "after", "push").when(order == "before", "pull")
+    differs = F.col("ours_clock").isNull() | F.col("theirs_clock").isNull() | (order != "equal") | ~F.col("ours").eqNullSafe(F.col("theirs"))
+    return both.where(differs).select(key, F.coalesce(action, F.lit("ambiguous")).alias("action"), F.when(action == "push", F.col("ours")).when(action == "pull", F.col("theirs")).alias("winner"))
+
+
 def repairs(difference: DataFrame, key: str) -> DataFrame:
-    """What to do for each difference: push, pull, or take the greater version; equal clocks with other values are ambiguous."""
+    """What to do for each difference of versions that are ordered: push, pull, or take the greater version. See repairs_by_clock for clocks."""
     action = F.when(F.col("side") == "missing_theirs", "push").when(F.col("side") == "missing_ours", "pull").when(F.col("ours") > F.col("theirs"), "push").otherwise("pull")
     return difference.select(key, action.alias("action"), F.greatest("ours", "theirs").alias("winner"))
 
 
+def pruned_difference(ours: DataFrame, theirs: DataFrame, key: str, version: str, levels: tuple[int, ...] = (16, 256, 4096)) -> DataFrame:
+    """The same difference by a tree of key segments, coarse to fine: a segment is opened only where its parent's hashes differ.
+
+    Each of `levels` must divide the next. What is broadcast is at most one row for each segment of the last level.
+    """
+    place = F.pmod(entry_hash(F.col(key)), F.lit(levels[-1])).cast("int")
+    sums = [t.groupBy(place.alias("segment")).agg(F.bit_xor(entry_hash(F.col(key), F.col(version))).alias("hash")) for t in (ours, theirs)]
+    open_ = None
+    for n in levels:
+        parts = [t.groupBy((F.col("segment") % n).alias("part")).agg(F.bit_xor("hash").alias("hash")) for t in sums]
+        wrong = F.broadcast(diverging(*parts, ["part"]))
+        sums = [t.withColumn("part", F.col("segment") % n).join(wrong, "part", "left_semi").drop("part") for t in sums]
+        open_ = wrong
+    narrow = lambda t: t.withColumn("part", place).join(open_, "part", "left_semi").drop("part")
+    return symmetric_difference(narrow(ours), narrow(theirs), key, version)
+
+
 def reconcile(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """Our rows and those that we lack."""
     return ours.unionByName(theirs.join(ours.select(key), key, "left_anti"))
 
 
 def merkle_segments(rows: DataFrame, key: str, version: str, segments: int) -> DataFrame:
-    """A hash for each segment of keys: MD5 over its entries in key order."""
+    """A hash for each segment of keys, the XOR of its entries' hashes, in one level; and how many keys it has."""
     place = F.pmod(entry_hash(F.col(key)), F.lit(segments)).cast("int")
     return rows.groupBy(place.alias("segment")).agg(F.bit_xor(entry_hash(F.col(key), F.col(version))).alias("hash"), F.count("*").alias("keys"))
 

@@ -106,6 +106,17 @@ def get_bit(value: Column, offset: int) -> Column:
     return F.coalesce(F.shiftright(byte, 7 - offset % 8).bitwiseAND(1), F.lit(0))
 
 
+def set_bit(value: Column, offset: int, bit: int) -> Column:
+    """SETBIT as binary: the value with zero bytes up to the bit's, and the bit set."""
+    at = offset // 8
+    raw = F.coalesce(F.hex(value.cast("binary")), F.lit(""))
+    raw = F.rpad(raw, F.greatest(F.length(raw), F.lit(2 * at + 2)), F.lit("0"))
+    mask = 1 << (7 - offset % 8)
+    old = F.conv(F.substring(raw, 2 * at + 1, 2), 16, 10).cast("int")
+    new = old.bitwiseOR(mask) if bit else old.bitwiseAND(255 - mask)
+    return F.unhex(F.concat(F.substring(raw, 1, 2 * at), F.lpad(F.hex(new), 2, "0"), F.substring(raw, F.lit(2 * at + 3), F.length(raw))))
+
+
 def bit_position(value: Column, bit: int) -> Column:
     """BITPOS: the first place of a bit, -1 if there is none."""
     bits = F.aggregate(F.split(F.hex(value.cast("binary")), ""), F.lit(""), lambda s, d: F.concat(s, F.when(d == "", "").otherwise(F.lpad(F.conv(d, 16, 2), 4, "0"))))
@@ -225,17 +236,45 @@ def zrange(zsets: DataFrame, start: int, stop: int, descending: bool = False) ->
     return ranked(zsets, descending).withColumn("_n", n).where((F.col("rank") >= first) & (F.col("rank") < first + length)).drop("_n")
 
 
-def zrange_by_score(zsets: DataFrame, low: float, high: float, offset: int = 0, limit: int | None = None) -> DataFrame:
-    found = ranked(zsets.where(F.col("score").between(low, high)))
+def zrange_by_score(zsets: DataFrame, low: float, high: float, offset: int = 0, limit: int | None = None, descending: bool = False) -> DataFrame:
+    """ZRANGEBYSCORE and, descending, ZREVRANGEBYSCORE; rank counts the members in the range."""
+    found = ranked(zsets.where(F.col("score").between(low, high)), descending)
     return found if limit is None and not offset else found.where((F.col("rank") >= offset) & (F.col("rank") < offset + (limit if limit is not None else 1 << 60)))
 
 
+def zscore(asked: DataFrame, zsets: DataFrame) -> DataFrame:
+    """asked (key, member) with their scores, null where there is none."""
+    return asked.join(zsets.select("key", "member", "score"), ["key", "member"], "left")
+
+
+def zremove_by_score(zsets: DataFrame, low: float, high: float) -> DataFrame:
+    return zsets.where(~F.coalesce(F.col("score").between(low, high), F.lit(False)))
+
+
 def zcount(zsets: DataFrame, low: float, high: float) -> DataFrame:
     return zsets.where(F.col("score").between(low, high)).groupBy("key").agg(F.count("*").alias("n"))
 
 
-def zrange_by_lex(zsets: DataFrame, low: str, high: str) -> DataFrame:
-    return zsets.where(F.col("member").between(low, high))
+def _within(low: str, high: str) -> Column:
+    """Members between two bounds: [x with x, (x without, - and + for none; a bare bound counts as [."""
+    m, bare = F.col("member"), lambda x: x[1:] if x[:1] in "[(" else x
+    above = F.lit(True) if low == "-" else m > bare(low) if low.startswith("(") else m >= bare(low)
+    below = F.lit(True) if high == "+" else m < bare(high) if high.startswith("(") else m <= bare(high)
+    return above & below
+
+
+def zrange_by_lex(zsets: DataFrame, low: str, high: str, descending: bool = False) -> DataFrame:
+    """ZRANGEBYLEX; descending, ZREVRANGEBYLEX with each member's rank in the range."""
+    found = zsets.where(_within(low, high))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("member").desc())) - 1) if descending else found
+
+
+def zlexcount(zsets: DataFrame, low: str, high: str) -> DataFrame:
+    return zsets.where(_within(low, high)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def zremove_by_lex(zsets: DataFrame, low: str, high: str) -> DataFrame:
+    return zsets.where(~_within(low, high))
 
 
 def zremove_by_rank(zsets: DataFrame, start: int, stop: int) -> DataFrame:
@@ -267,6 +306,17 @@ def geo_radius(places: DataFrame, lon: float, lat: float, metres: float) -> Data
     return near.withColumn("metres", d).where(F.col("metres") <= metres).orderBy("metres", "member")
 
 
+def geo_positions(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """GEOPOS: the asked members with lon and lat, null where there is none."""
+    return asked.join(places.select("member", "lon", "lat"), "member", "left")
+
+
+def geo_radius_by_member(places: DataFrame, member, metres: float) -> DataFrame:
+    """GEORADIUSBYMEMBER: members within the radius of one of them; none if there is no such member."""
+    at = places.where(F.col("member") == member).first()
+    return geo_radius(places, at["lon"], at["lat"], metres) if at else places.withColumn("metres", F.lit(0.0)).limit(0)
+
+
 def geohash(lon: Column, lat: Column, length: int = 11) -> Column:
     """Base-32 geohash by interleaving 5 bits a character."""
     bits = length * 5
@@ -290,18 +340,91 @@ def json_type(doc: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(F.try_parse_json(doc), path, "variant"))
 
 
-def json_array_append(doc: Column, item: Column) -> Column:
-    return F.to_json(F.array_append(F.from_json(doc, "array<string>"), item))
+def json_mget(asked: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """JSON.MGET: asked (key) with the value at the path of each key's document, null where either lacks."""
+    return asked.join(docs.select("key", F.get_json_object("doc", path).alias("value")), "key", "left")
+
+
+def json_length(doc: Column, path: str) -> Column:
+    """JSON.OBJLEN: how many members the object at the path has; null if it is none."""
+    return F.size(F.json_object_keys(F.get_json_object(doc, path)))
+
+
+def _steps(path: str) -> list[str]:
+    if path != "$" and not path.startswith("$."):
+        raise ValueError(f"a path begins with $, not {path}")
+    return path.split(".")[1:]
+
+
+def _members(doc: Column) -> Column:
+    """name and value (as JSON text) of an object's members, in their order."""
+    # a value stands as JSON text: strings keep their quotes, numbers and inner documents their form
+    names = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
+    parsed = F.from_json(doc, "map<string,variant>")
+    return F.transform(names, lambda n: F.struct(n.alias("name"), F.to_json(F.struct(parsed[n].alias("v"))).alias("v")))
+
+
+def _inner(boxed: Column) -> Column:
+    """What stands in {"v":...}; null for {}."""
+    return F.when(F.length(boxed) > 5, F.substring(boxed, F.lit(6), F.length(boxed) - 6)).otherwise(F.lit("null"))
+
+
+def _object(members: Column) -> Column:
+    quoted = lambda n: F.concat(_inner(F.to_json(F.struct(n.alias("v")))), F.lit(":"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda m: F.concat(quoted(m["name"]), _inner(m["v"]))), ","), F.lit("}"))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _changed(doc: Column, steps: list[str], change) -> Column:
+    """The document with `change` (of the JSON text, or null, to JSON text, or null to remove) made at the steps below it."""
+    if not steps:
+        return change(doc)
+    name, rest = steps[0], steps[1:]
+
+    def within(members: Column) -> Column:
+        old = F.get(F.filter(members, lambda m: m["name"] == name), F.lit(0))
+
+        def put(new: Column) -> Column:
+            box = F.struct(F.lit(name).alias("name"), F.concat(F.lit('{"v":'), new, F.lit("}")).alias("v"))
+            kept = F.when(new.isNull(), F.filter(members, lambda m: m["name"] != name)).when(old.isNull(), F.array_append(members, box))
+            return _object(kept.otherwise(F.transform(members, lambda m: F.when(m["name"] == name, box).otherwise(m))))
+
+        return _bound(_changed(F.when(old.isNotNull(), _inner(old["v"])), rest, change), put)
+
+    return _bound(doc, lambda d: _bound(_members(d), within))
+
+
+def json_set(doc: Column, path: str, value: Column) -> Column:
+    """JSON.SET: the JSON text `value` at a path of member names; objects on the way must be there. Types and nesting stay."""
+    return _changed(doc, _steps(path), lambda _: value)
+
+
+def json_remove(doc: Column, path: str) -> Column:
+    """JSON.DEL: the document without what stands at the path; null for the whole document."""
+    return _changed(doc, _steps(path), lambda _: F.lit(None).cast("string"))
+
+
+def json_array_insert(doc: Column, path: str, at: int | None, boxed: Column) -> Column:
+    """JSON.ARRINSERT, and JSON.ARRAPPEND where `at` is None: an item, given as {"v": item}, in the array at the path."""
+
+    def put(array: Column) -> Column:
+        items = F.transform(F.from_json(array, "array<variant>"), lambda x: _inner(F.to_json(F.struct(x.alias("v")))))
+        return F.concat(F.lit("["), F.array_join(F.array_append(items, _inner(boxed)) if at is None else F.array_insert(items, at + 1 if at >= 0 else at, _inner(boxed)), ","), F.lit("]"))
+
+    return _changed(doc, _steps(path), put)
 
 
 def json_set_field(doc: Column, name: str, value: Column) -> Column:
-    """The top-level field set in a JSON object of scalars."""
-    fields = F.from_json(doc, "map<string,string>")
-    return F.to_json(F.map_concat(F.map_filter(fields, lambda k, v: k != name), F.create_map(F.lit(name), value.cast("string"))))
+    """JSON.SET of a top-level field to a column's value, with its type."""
+    return json_set(doc, f"$.{name}", _inner(F.to_json(F.struct(value.alias("v")))))
 
 
 def json_delete_field(doc: Column, name: str) -> Column:
-    return F.to_json(F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, v: k != name))
+    return json_remove(doc, f"$.{name}")
 
 
 # the rest of the commands
@@ -313,6 +436,11 @@ def hash_exists(keys: DataFrame, hashes: DataFrame) -> DataFrame:
     return keys.join(hashes.select(*by).distinct().withColumn("found", F.lit(True)), by, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def hstrlen(hashes: DataFrame) -> DataFrame:
+    """HSTRLEN: the bytes of each field's value."""
+    return hashes.select("key", "field", F.octet_length("value").alias("n"))
+
+
 def hkeys(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("key").agg(F.sort_array(F.collect_list("field")).alias("fields"))
 

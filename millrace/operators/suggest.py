@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,37 +17,21 @@ def fold(ops: DataFrame) -> DataFrame:
     return live.groupBy("dict", "suggestion").agg(F.sum("score").alias("score"), F.max_by("payload", F.when(F.col("payload").isNotNull(), F.col("seq"))).alias("payload"))
 
 
-def _within(prefix: bytes, candidate: bytes, k: int) -> bool:
-    """Whether some beginning of the candidate is within k edits of the prefix, up to k leading bytes being free.
-
-    A row of the table is kept as an array over the band's diagonals.
-    """
-    if not prefix:
-        return True
-    text, big = candidate[: len(prefix) + k], len(prefix) + k + 9
-    n = len(text)
-    row = np.full(n + 1, big)
-    row[: min(n, k) + 1] = 0
-    for i, c in enumerate(prefix, 1):
-        new = np.full(n + 1, big)
-        new[0] = i
-        for j in range(max(1, i - k), min(i + k, n) + 1):
-            new[j] = min(row[j - 1] + (c != text[j - 1]), row[j] + 1, new[j - 1] + 1)
-        row = new
-    reach = row[max(0, len(prefix) - k) : min(len(prefix) + k, n) + 1]
-    return bool(reach.size and reach.min() <= k)
+def near_prefix(candidate: Column, prefix: str, k: int = 1) -> Column:
+    """Whether some beginning of the candidate is within k edits of the prefix, up to k leading characters being free."""
+    hit = F.lit(not prefix)
+    for end in range(max(len(prefix) - k, 0), len(prefix) + k + 1):
+        for first in range(min(k, end) + 1):
+            part = F.substring(candidate, first + 1, end - first)
+            # a part that the candidate is too short for is told by another end
+            hit = hit | ((F.length(part) == end - first) & F.levenshtein(part, F.lit(prefix)).between(0, k))
+    return hit
 
 
 def get(entries: DataFrame, prefix: str, fuzzy: bool = False, most: int = 5) -> DataFrame:
     """The best suggestions that begin with the prefix (within one edit, if fuzzy), by score, then bytes."""
     if fuzzy:
-        raw = prefix.encode()
-
-        @F.pandas_udf("boolean")
-        def near(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: _within(raw, x.encode(), 1))
-
-        entries = entries.where(near("suggestion"))
+        entries = entries.where(near_prefix(F.col("suggestion"), prefix))
     else:
         entries = entries.where(F.col("suggestion").startswith(prefix))
     return entries.orderBy(F.col("score").desc(), "suggestion").limit(most)

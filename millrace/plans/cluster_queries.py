@@ -24,13 +24,13 @@ def replies(spark, sf_dir):
 
 _REPLIES = """p AS (SELECT o_orderkey AS request, unnest([0,1,2,3,4]) AS peer, CAST(round(o_totalprice*100) AS BIGINT) AS cents FROM orders),
   r AS (SELECT request, CASE WHEN peer < 3 THEN 'east' ELSE 'west' END AS dc, peer, (peer*7 + request) % 11 AS arrival, cents + CASE WHEN (request % 97 = 0 AND peer >= 3) OR (request % 194 = 0 AND peer = 1) THEN peer ELSE 0 END AS reply FROM p)"""
-_QUORUM = f"""{_REPLIES}, v AS (SELECT request, reply, count(*) AS votes, min(arrival) AS f FROM r GROUP BY 1,2),
+_QUORUM = f"""{_REPLIES}, v AS (SELECT request, reply, count(*) AS votes, min(arrival) AS f FROM r WHERE dc = 'west' OR request NOT IN (SELECT request FROM r WHERE dc = 'west') GROUP BY 1,2),
   q AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY votes DESC, f, reply) AS n, CAST(sum(votes) OVER (PARTITION BY request) AS BIGINT) AS peers FROM v)"""
 
 
-@query(f"WITH {_QUORUM} SELECT request, reply, votes, peers, votes*2 > peers AS majority FROM q WHERE n = 1")
+@query(f"WITH {_QUORUM} SELECT request, reply, votes, peers, votes >= peers // 2 + 1 AS majority FROM q WHERE n = 1")
 def quorum_majority(spark, sf_dir):
-    return C.quorum(replies(spark, sf_dir), "request", "reply", "peer", "arrival")
+    return C.quorum(replies(spark, sf_dir), "request", "reply", "dc", "west", "arrival")
 
 
 @query(f"WITH {_REPLIES} SELECT request, arg_min(reply, (arrival, peer)) AS reply FROM r GROUP BY 1")
@@ -39,9 +39,9 @@ def quorum_first(spark, sf_dir):
     return C.first_reply(r, "request", "reply", "arrival")
 
 
-@query(f"WITH {_REPLIES} SELECT request, count(DISTINCT reply) = 1 AS agreed, CASE WHEN count(DISTINCT reply) = 1 THEN min(reply) END AS reply FROM r GROUP BY 1")
+@query(f"WITH {_REPLIES} SELECT request, count(DISTINCT reply) = 1 AS agreed, CASE WHEN count(DISTINCT reply) = 1 THEN min(reply) END AS reply FROM r WHERE dc = 'west' GROUP BY 1")
 def quorum_all_agree(spark, sf_dir):
-    return C.all_agree(replies(spark, sf_dir), "request", "reply")
+    return C.all_agree(replies(spark, sf_dir), "request", "reply", "dc", "west")
 
 
 @query(f"WITH {_REPLIES}, d AS (SELECT request, dc, count(DISTINCT reply) = 1 AS one, min(reply) AS reply FROM r GROUP BY 1,2) SELECT request, bool_and(one) AS agreed, CASE WHEN bool_and(one) THEN max(CASE WHEN dc = 'east' THEN reply END) END AS reply FROM d GROUP BY 1")
@@ -52,7 +52,7 @@ def quorum_per_dc(spark, sf_dir):
 @query(f"WITH {_QUORUM} SELECT r.request, r.peer, r.reply FROM r JOIN q ON q.request = r.request AND q.n = 1 WHERE r.reply <> q.reply")
 def divergent_replicas(spark, sf_dir):
     r = replies(spark, sf_dir)
-    return C.divergent(r, C.quorum(r, "request", "reply", "peer", "arrival"), "request", "reply").select("request", "peer", "reply")
+    return C.divergent(r, C.quorum(r, "request", "reply", "dc", "west", "arrival"), "request", "reply").select("request", "peer", "reply")
 
 
 def sides(spark, sf_dir):
@@ -109,6 +109,29 @@ def mst_reconcile(spark, sf_dir):
     return C.reconcile(a.select("key", "version"), b.select("key", "version"), "key")
 
 
+@query(f"WITH {_SIDES} {_DIFFERENCE}")
+def mst_diff(spark, sf_dir):
+    return C.pruned_difference(*sides(spark, sf_dir), "key", "version")
+
+
+def clocked(spark, sf_dir):
+    """Two replicas of customers with version vectors of three actors: some behind, some ahead, some written on both sides."""
+    k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    actor = lambda n, d: (k % n == 0).cast("int") + d
+    clock = lambda x, y: F.map_from_arrays(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.array(x, y, F.lit(1)))
+    ours = c.where("c_custkey % 89 <> 0").select(k.alias("key"), clock(actor(7, 1), F.lit(1)).alias("clock"), F.concat(F.col("c_name"), F.when(k % 7 == 0, "~").otherwise("")).alias("value"))
+    theirs = c.where("c_custkey % 83 <> 0").select(k.alias("key"), clock(F.lit(1), actor(5, 1)).alias("clock"), F.concat(F.col("c_name"), F.when(k % 5 == 0, "^").otherwise("")).alias("value"))
+    return ours, theirs
+
+
+@query("""WITH k AS (SELECT c_custkey AS key, c_name AS n, c_custkey % 89 <> 0 AS o, c_custkey % 83 <> 0 AS t, c_custkey % 7 = 0 AS a, c_custkey % 5 = 0 AS b FROM customer)
+  SELECT key, CASE WHEN NOT t THEN 'push' WHEN NOT o THEN 'pull' WHEN a AND b THEN 'ambiguous' WHEN a THEN 'push' ELSE 'pull' END AS action,
+    CASE WHEN NOT t OR (o AND a AND NOT b) THEN n || CASE WHEN a THEN '~' ELSE '' END WHEN NOT o OR (b AND NOT a) THEN n || CASE WHEN b THEN '^' ELSE '' END END AS winner
+  FROM k WHERE (o OR t) AND (NOT o OR NOT t OR a OR b)""")
+def repair_by_clock(spark, sf_dir):
+    return C.repairs_by_clock(*clocked(spark, sf_dir), "key", "clock", "value")
+
+
 _MERKLE = "SELECT CAST({h} % 256 AS INTEGER) AS segment, bit_xor({v}) AS hash FROM {t} GROUP BY 1"
 
 
@@ -163,10 +186,38 @@ def random_slicing(spark, sf_dir):
     return placement.slice_owner(ring_and_keys(spark, sf_dir)[1], "h", spark.createDataFrame(SLICES, "low long, high long, peer string"))
 
 
-@query("SELECT * FROM (VALUES ('r0', 2::BIGINT, 2::BIGINT)) t(rack, token, peers)")
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS rack, s_suppkey % 13 AS token, count(DISTINCT s_name) AS peers FROM supplier GROUP BY 1, 2 HAVING count(DISTINCT s_name) > 1")
 def ring_coverage(spark, sf_dir):
-    ring = spark.createDataFrame([("r0", "a", 1), ("r0", "a", 2), ("r0", "b", 2), ("r1", "a", 2)], "rack string, peer string, token long")
-    return placement.coverage(ring)
+    s = table(spark, sf_dir, "supplier")
+    return placement.coverage(s.select(F.col("s_nationkey").cast("string").alias("rack"), F.col("s_name").alias("peer"), (F.col("s_suppkey") % 13).alias("token")))
+
+
+_WIDE = "ring AS (SELECT 'peer' || i % 97 AS peer, (i * 104729 * 7919) % 1000000007 AS token FROM range(10000) t(i)), k AS (SELECT o_orderkey, (o_orderkey * 15485863) % 1000000007 AS h FROM orders)"
+
+
+@query(f"WITH {_WIDE}, f AS (SELECT arg_min(peer, token) AS first FROM ring) SELECT o_orderkey, h, coalesce(peer, first) AS peer FROM (SELECT * FROM k ASOF LEFT JOIN ring ON k.h <= ring.token), f")
+def ring_of_many_points(spark, sf_dir):
+    ring = spark.range(10_000).select(F.concat(F.lit("peer"), F.col("id") % 97).alias("peer"), ((F.col("id") * 104729 * 7919) % 1_000_000_007).alias("token"))
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 15485863) % 1_000_000_007).alias("h"))
+    return placement.owner(keys, "h", ring)
+
+
+@query("SELECT c_custkey, 'peer' || (c_custkey * 15485863) % 1000000007 % 5 AS peer FROM customer")
+def modula_lookup(spark, sf_dir):
+    _, keys = ring_and_keys(spark, sf_dir)
+    return placement.modula(keys, "h", [f"peer{i}" for i in range(5)]).select("c_custkey", "peer")
+
+
+_SERVERS = [("alpha:1", 2), ("beta:1", 1), ("gamma:1", 1)]
+_WORD = "CAST('0x' || substr(m,{0}+7,2) || substr(m,{0}+5,2) || substr(m,{0}+3,2) || substr(m,{0}+1,2) AS BIGINT)"
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES ('alpha:1',60),('beta:1',30),('gamma:1',30)) t(peer, n)), d AS (SELECT peer, md5(peer || '-' || i) AS m FROM s, range(60) r(i) WHERE i < n),
+  ring AS (SELECT peer, unnest([{", ".join(_WORD.format(8 * i) for i in range(4))}]) AS token FROM d), k AS (SELECT c_custkey, crc32 AS h FROM (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS crc32 FROM customer)),
+  f AS (SELECT arg_min(peer, token) AS first FROM ring) SELECT c_custkey, coalesce(peer, first) AS peer FROM (SELECT * FROM k ASOF LEFT JOIN ring ON k.h <= ring.token), f""")
+def ketama_lookup(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 2654435761) % 4294967296).alias("h"))
+    return placement.owner(keys, "h", placement.ketama_points(spark, _SERVERS)).select("c_custkey", "peer")
 
 
 @query("SELECT c_custkey, CAST(('0x' || substr(md5(c_name),7,2) || substr(md5(c_name),5,2) || substr(md5(c_name),3,2) || substr(md5(c_name),1,2)) AS BIGINT) AS md5 FROM customer")

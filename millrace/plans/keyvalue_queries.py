@@ -253,14 +253,30 @@ def kv_georadius(spark, sf_dir):
     return K.geo_radius(places(spark, sf_dir), 10.0, 20.0, 5_000_000).select("member", F.round("metres", 1).alias("metres"))
 
 
-@query()
+@query(f"WITH {_PLACES} SELECT member, lon, lat FROM p WHERE member % 2 = 0 UNION ALL SELECT -s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey > 0")
+def kv_geopos(spark, sf_dir):
+    p = places(spark, sf_dir).where("member % 2 = 0")
+    return K.geo_positions(p.select("member").union(p.where("member > 0").select(-F.col("member"))), p)
+
+
+@query(f"WITH {_PLACES} SELECT b.member, round({_METRES}, 1) AS metres FROM p b, (SELECT * FROM p WHERE member = 1) a WHERE {_METRES} <= 6000000")
+def kv_georadiusbymember(spark, sf_dir):
+    return K.geo_radius_by_member(places(spark, sf_dir), 1, 6_000_000).select("member", F.round("metres", 1).alias("metres"))
+
+
+_CELLS = "CAST(least(floor((lon + 180) / 360 * 268435456), 268435455) AS BIGINT) AS x, CAST(least(floor((lat + 90) / 180 * 134217728), 134217727) AS BIGINT) AS y"
+
+
+@query(f"""WITH {_PLACES}, c AS (SELECT member, {_CELLS} FROM p), b AS (SELECT member, k, CASE WHEN k % 2 = 0 THEN (x >> (27 - k // 2)) & 1 ELSE (y >> (26 - k // 2)) & 1 END AS bit FROM c, range(55) t(k)),
+  v AS (SELECT member, k // 5 AS place, CAST(sum(bit << (4 - k % 5)) AS BIGINT) AS v FROM b GROUP BY 1, 2)
+  SELECT member, string_agg(substr('0123456789bcdefghjkmnpqrstuvwxyz', v + 1, 1), '' ORDER BY place) AS geohash FROM v GROUP BY 1""")
 def kv_geohash(spark, sf_dir):
     return places(spark, sf_dir).select("member", K.geohash(F.col("lon"), F.col("lat")).alias("geohash"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 500")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def kv_json_get(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
 @query("SELECT o_orderkey, CAST(1 + o_orderkey % 3 AS INTEGER) AS n FROM orders")

@@ -86,9 +86,10 @@ def gen_values(spark, sf_dir):
     return generators.values(generators.keys(spark, 1000, "normal", 100), "exponential", 20)
 
 
-@query("SELECT k.key, k.field, k.field = 'c_name' AND k.key < 10 AS found FROM (VALUES (1,'c_name'),(2,'nope'),(-5,'c_name')) k(key,field)".replace("k.key < 10", "k.key >= 0"))
+@query("WITH a AS (SELECT DISTINCT o_custkey AS key, CASE WHEN o_custkey % 3 = 0 THEN 'nope' ELSE 'c_name' END AS field FROM orders UNION SELECT -n_nationkey, 'c_name' FROM nation) SELECT key, field, field = 'c_name' AND key IN (SELECT c_custkey FROM customer) AS found FROM a")
 def kv_hexists(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "c_name"), (2, "nope"), (-5, "c_name")], "key int, field string")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.when(F.col("o_custkey") % 3 == 0, "nope").otherwise("c_name").alias("field"))
+    asked = asked.union(table(spark, sf_dir, "nation").select(-F.col("n_nationkey"), F.lit("c_name"))).distinct()
     return K.hash_exists(asked, customer_hashes(spark, sf_dir))
 
 
@@ -107,9 +108,9 @@ def kv_srandmember(spark, sf_dir):
     return K.random_members(supplier_sets(spark, sf_dir), 2, 7)
 
 
-@query(f"WITH {_SETS}, m AS (SELECT min(member) AS x FROM s WHERE key = '1') SELECT DISTINCT CASE WHEN key = '1' AND member = x THEN '2' ELSE key END AS key, member FROM s, m WHERE key IN ('1','2')")
+@query(f"WITH {_SETS}, m AS (SELECT min(member) AS x FROM s WHERE key = '1') SELECT DISTINCT CASE WHEN key = '1' AND member = x THEN '2' ELSE key END AS key, member FROM s, m")
 def kv_smove(spark, sf_dir):
-    sets = supplier_sets(spark, sf_dir).where("key in ('1', '2')")
+    sets = supplier_sets(spark, sf_dir)
     return K.smove(sets, "1", "2", sets.where("key = '1'").agg(F.min("member")).first()[0])
 
 
@@ -168,20 +169,89 @@ def kv_pfcount(spark, sf_dir):
     return both.select("key", "exact", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near"))
 
 
-@query("SELECT event_id, event_type = 'error' AS removed FROM events WHERE event_id < 300")
+@query("SELECT event_id, event_type = 'error' AS removed FROM events")
 def kv_json_del(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 300")
+    e = table(spark, sf_dir, "events")
     doc = F.when(F.col("event_type") == "error", K.json_delete_field(F.col("props"), "k")).otherwise(F.col("props"))
     return e.select("event_id", F.get_json_object(doc, "$.k").isNull().alias("removed"))
 
 
-@query("SELECT event_id, 'BIGINT' AS type FROM events")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'STRING' WHEN 1 THEN 'BOOLEAN' WHEN 2 THEN 'BIGINT' ELSE 'ARRAY<BIGINT>' END AS type FROM orders")
 def kv_json_type(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", K.json_type(F.col("props"), "$.k").alias("type"))
+    k = F.col("o_orderkey") % 4
+    value = F.when(k == 0, F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"'))).when(k == 1, "true").when(k == 2, F.col("o_custkey").cast("string")).otherwise("[1,2]")
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.json_type(F.concat(F.lit('{"k":'), value, F.lit("}")), "$.k").alias("type"))
 
 
-@query("SELECT event_id, CAST(4 AS INTEGER) AS n, 'x' AS last FROM events WHERE event_id < 200")
+@query("SELECT o_orderkey, '[' || o_custkey || ',' || o_orderkey % 10 || ',\"' || o_orderstatus || '\"]' AS doc FROM orders")
 def kv_json_arrappend(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 200")
-    a = K.json_array_append(F.to_json(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), F.lit("x"))
-    return e.select("event_id", F.json_array_length(a).alias("n"), F.get_json_object(a, "$[3]").alias("last"))
+    o = table(spark, sf_dir, "orders")
+    a = F.to_json(F.array(F.col("o_custkey"), F.col("o_orderkey") % 10))
+    return o.select("o_orderkey", K.json_array_insert(a, "$", None, F.to_json(F.struct(F.col("o_orderstatus").alias("v")))).alias("doc"))
+
+
+# further commands
+
+
+@query(f"WITH {_ZSETS} SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS r FROM z WHERE score BETWEEN 950 AND 1400) WHERE r >= 1 AND r < 4")
+def kv_zrevrangebyscore(spark, sf_dir):
+    return K.zrange_by_score(part_zsets(spark, sf_dir), 950.0, 1400.0, 1, 3, descending=True).select("key", "member", "score")
+
+
+@query(f"WITH {_ZSETS} SELECT key, member, score, CAST(row_number() OVER (PARTITION BY key ORDER BY member DESC) - 1 AS INTEGER) AS rank FROM z WHERE member > '10' AND member <= '20'")
+def kv_zrevrangebylex(spark, sf_dir):
+    return K.zrange_by_lex(part_zsets(spark, sf_dir), "(10", "[20", descending=True)
+
+
+@query(f"WITH {_ZSETS} SELECT key, count(*) AS n FROM z WHERE member >= '10' AND member < '20' GROUP BY 1")
+def kv_zlexcount(spark, sf_dir):
+    return K.zlexcount(part_zsets(spark, sf_dir), "[10", "(20")
+
+
+@query(f"WITH {_ZSETS} SELECT key, member, score FROM z WHERE NOT score BETWEEN 950 AND 1400")
+def kv_zremrangebyscore(spark, sf_dir):
+    return K.zremove_by_score(part_zsets(spark, sf_dir), 950.0, 1400.0)
+
+
+@query(f"WITH {_ZSETS} SELECT key, member, score FROM z WHERE NOT (member >= '10' AND member < '20')")
+def kv_zremrangebylex(spark, sf_dir):
+    return K.zremove_by_lex(part_zsets(spark, sf_dir), "[10", "(20")
+
+
+@query(f"WITH {_ZSETS}, a AS (SELECT key, member FROM z UNION ALL SELECT DISTINCT key, 'nobody' FROM z) SELECT a.key, a.member, z.score FROM a LEFT JOIN z USING (key, member)")
+def kv_zscore(spark, sf_dir):
+    z = part_zsets(spark, sf_dir)
+    return K.zscore(z.select("key", "member").union(z.select("key", F.lit("nobody")).distinct()), z)
+
+
+@query("SELECT c_custkey AS key, 'c_name' AS field, CAST(octet_length(CAST(c_name AS BLOB)) AS INTEGER) AS n FROM customer")
+def kv_hstrlen(spark, sf_dir):
+    return K.hstrlen(customer_hashes(spark, sf_dir).where("field = 'c_name'"))
+
+
+@query("SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS was, upper(hex(CAST(chr(CAST(ascii(n_name) - CASE WHEN (ascii(n_name) // 1) % 2 = 1 THEN 1 ELSE 0 END + 1 AS INTEGER)) || substr(n_name, 2) AS BLOB))) AS value FROM nation".replace("CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS was", "CAST(ascii(n_name) % 2 AS INTEGER) AS was"))
+def kv_setbit(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_name").alias("key"), K.get_bit(F.col("n_name"), 7).alias("was"), F.hex(K.set_bit(F.col("n_name"), 7, 1)).alias("value"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, NULL FROM events WHERE event_type = 'error'")
+def kv_json_mget(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    docs = e.where("event_type <> 'error'").select(F.col("event_id").alias("key"), F.col("props").alias("doc"))
+    return K.json_mget(e.select(F.col("event_id").alias("key")), docs, "$.k").select(F.col("key").alias("event_id"), F.col("value").alias("k"))
+
+
+@query("SELECT event_id, CAST(1 + event_id % 2 AS INTEGER) AS n FROM events")
+def kv_json_objlen(spark, sf_dir):
+    doc = F.when(F.col("event_id") % 2 == 1, K.json_set(F.col("props"), "$.deep", F.lit('{"x":[1,{"y":2.5}]}'))).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", K.json_length(doc, "$").alias("n"))
+
+
+@query("SELECT o_orderkey, '{\"a\":{\"b\":[' || o_custkey || ',\"new\",true]},\"n\":' || o_orderkey || '}' AS doc FROM orders")
+def kv_json_nested(spark, sf_dir):
+    """JSON.SET below the top level, JSON.ARRINSERT and JSON.DEL; numbers stay numbers."""
+    doc = F.concat(F.lit('{"a":{"b":['), F.col("o_custkey"), F.lit(',true],"gone":1},"n":0}'))
+    doc = K.json_set(doc, "$.n", F.col("o_orderkey").cast("string"))
+    doc = K.json_array_insert(doc, "$.a.b", 1, F.to_json(F.struct(F.lit("new").alias("v"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.json_remove(doc, "$.a.gone").alias("doc"))

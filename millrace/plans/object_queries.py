@@ -57,10 +57,10 @@ def customer_objects(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.lit("customer").alias("bucket"), F.col("c_custkey").cast("string").alias("key"), "c_name", "c_mktsegment")
 
 
-@query("SELECT c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0")
+@query("SELECT c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def mr_link(spark, sf_dir):
     link = F.struct(F.lit("customer").alias("bucket"), F.col("o_custkey").cast("string").alias("key"), F.lit("placed_by").alias("tag"))
-    d = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.array(link).alias("links"))
+    d = table(spark, sf_dir, "orders").select(F.array(link).alias("links"))
     return M.link_walk(d, customer_objects(spark, sf_dir)).select("c_name", "c_mktsegment")
 
 
@@ -201,12 +201,12 @@ def tombstone_reap(spark, sf_dir):
     return old.select("event_id")
 
 
-@query("""WITH b AS (SELECT user_id % 40 AS txn, user_id AS key, CASE WHEN event_type = 'signup' THEN 'delete' ELSE 'put' END AS kind, event_id AS value, ts FROM events WHERE event_id % 5 = 0),
+@query("""WITH b AS (SELECT user_id % 40 AS txn, user_id AS key, CASE WHEN event_type = 'signup' THEN 'delete' ELSE 'put' END AS kind, event_id AS value, ts FROM events),
   g AS (SELECT * FROM b WHERE txn NOT IN (SELECT txn FROM b WHERE value % 1000 = 0)),
   l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, value DESC) AS n FROM g) WHERE n = 1)
   SELECT c_custkey AS key, CAST(0 AS BIGINT) AS value FROM customer WHERE c_custkey NOT IN (SELECT key FROM l) UNION ALL SELECT key, value FROM l WHERE kind = 'put'""")
 def txn_atomic_batch(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     batches = e.select((F.col("user_id") % 40).alias("txn"), F.col("user_id").alias("key"), F.when(F.col("event_type") == "signup", "delete").otherwise("put").alias("kind"), F.col("event_id").alias("value"), (F.col("event_id") % 1000 == 0).alias("abort"), "ts")
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("value"))
     return objects.apply_batches(base, batches, ["ts", "value"])

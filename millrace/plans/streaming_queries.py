@@ -14,7 +14,11 @@ from .registry import query, table
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="millrace-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,9 +62,12 @@ def stream_window_latency(spark, sf_dir):
     return finished(stateful.window_latency(event_stream(spark, sf_dir), "ts", "value", "1 day", "1 hour"), "append")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+  SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts) + INTERVAL 6 HOUR) AS BIGINT) AS end_us, count(*) AS n FROM s GROUP BY user_id, s.n HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT mark FROM m)""")
 def stream_sessions(spark, sf_dir):
-    return finished(stateful.sessions(event_stream(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour"), "append")
+    closed = finished(stateful.sessions(event_stream(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour"), "append")
+    return closed.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query()

@@ -14,10 +14,19 @@ from millrace.operators import suggest, text_search
 KNOWN = {
     "fnv1a_32": {b"": 0x811C9DC5, b"a": 0xE40C292C, b"foobar": 0xBF9CF968}, "fnv1_32": {b"a": 0x050C5D7E, b"foobar": 0x31F0B262},
     "one_at_a_time": {b"a": 0xCA2E9442, b"The quick brown fox jumps over the lazy dog": 0x519E91F5}, "crc32a": {b"123456789": 0xCBF43926},
-    "murmur3_x64_64": {b"": 0}, "crc16": {b"": 0},
+    "fnv1_64": {b"a": 0x8601B7BE, b"foobar": 0xA4DDA9C2}, "crc32": {b"123456789": 0x4BF4}, "md5": {b"a": 0xB975C10C}, "crc16": {b"": 0},
 }
 
 
+def test_known_hashes_with_other_seeds():
+    """Published values for seeds other than placement's; the low 16 bits of crc16 are the checksum's."""
+    fox = b"The quick brown fox jumps over the lazy dog"
+    assert [int(x) for x in hashes.murmur3_x64_64([b"", b"hello", fox], 0)] == [0, 0xCBD8A7B341BD9B02, 0xE34BBC7BBC071B6C]
+    assert [int(x) for x in hashes.jenkins([b"Four score and seven years ago"], 0)] == [0x17770551]
+    assert [int(x) for x in hashes.jenkins([b"Four score and seven years ago"], 1)] == [0xCD628161]
+    assert int(hashes.crc16([b"123456789"])[0]) & 0xFFFF == 0x31C3
+
+
 @pytest.mark.parametrize("name", sorted(KNOWN))
 def test_known_hashes(name):
     keys = list(KNOWN[name])
@@ -116,7 +125,8 @@ def test_suggestions(spark):
     assert [r.suggestion for r in suggest.get(entries, "hel").collect()] == ["help", "hello"]
     assert [r.suggestion for r in suggest.get(entries, "helo", fuzzy=True).collect()] == ["help", "hello"]
     assert suggest.length(entries).first().n == 3
-    assert suggest._within(b"hel", b"hxel", 1) and not suggest._within(b"hel", b"world", 1)
+    words = spark.createDataFrame([("hxel",), ("world",), ("el",), ("xhel",), ("hl",), ("he",), ("h",), ("",)], "s string")
+    assert [r.s for r in words.where(suggest.near_prefix(F.col("s"), "hel")).collect()] == ["hxel", "el", "xhel", "hl", "he"]
 
 
 def test_batches_of_nulls(spark):

@@ -68,10 +68,23 @@ def test_as_of(spark):
 
 
 def test_quorum(spark):
-    r = spark.createDataFrame([(1, "p", "a", 3), (1, "q", "b", 1), (1, "r", "a", 2), (2, "p", "a", 2), (2, "q", "b", 1)], "req int, peer string, reply string, at int")
-    q = consistency.quorum(r, "req", "reply", "peer", "at")
-    assert values(q, "req", "reply", "majority") == [(1, "a", True), (2, "b", False)]
-    assert values(consistency.divergent(r, q, "req", "reply"), "req", "peer") == [(1, "q"), (2, "p")]
+    """Only replies of the local datacenter vote; of all, where it has no target."""
+    r = [(1, "p", "x", "a", 3), (1, "q", "x", "b", 1), (1, "r", "x", "a", 2), (1, "s", "y", "b", 0), (1, "t", "y", "b", 0), (2, "p", "x", "a", 2), (2, "q", "x", "b", 1), (2, "s", "y", "a", 0)]
+    r += [(3, "s", "y", "c", 1), (4, "p", "x", None, 0), (4, "q", "x", "d", 1), (4, "r", "x", "d", 2), (5, "p", "x", None, 0)]
+    r = spark.createDataFrame(r, "req int, peer string, dc string, reply string, at int")
+    q = consistency.quorum(r, "req", "reply", "dc", "x", "at")
+    assert values(q, "req", "reply", "votes", "peers", "majority") == [(1, "a", 2, 3, True), (2, "b", 1, 2, False), (3, "c", 1, 1, True), (4, "d", 2, 3, True)]
+    assert values(consistency.divergent(r.where("req < 3"), q, "req", "reply"), "req", "peer") == [(1, "q"), (1, "s"), (1, "t"), (2, "p"), (2, "s")]
+    agreed = {k: v for k, v in values(consistency.all_agree(r, "req", "reply", "dc", "x"), "req", "reply")}
+    assert agreed == {1: None, 2: None, 3: "c", 4: None, 5: None}
+
+
+def test_repair_by_clock(spark):
+    side = lambda rows: spark.createDataFrame(rows, "k int, clock map<string,int>, v string")
+    ours = side([(1, {"a": 2}, "x"), (2, {"a": 1}, "x"), (3, {"a": 2, "b": 1}, "x"), (4, {"a": 1}, "x"), (5, {"a": 1}, "x"), (6, {"a": 1}, "x")])
+    theirs = side([(1, {"a": 1}, "y"), (2, {"a": 1, "b": 1}, "y"), (3, {"a": 1, "b": 2}, "y"), (4, {"a": 1}, "x"), (5, {"a": 1}, "y"), (7, {"c": 1}, "y")])
+    got = values(consistency.repairs_by_clock(ours, theirs, "k", "clock", "v"), "k", "action", "winner")
+    assert got == [(1, "push", "x"), (2, "pull", "y"), (3, "ambiguous", None), (5, "ambiguous", None), (6, "push", "x"), (7, "pull", "y")]
 
 
 def test_ring(spark):
