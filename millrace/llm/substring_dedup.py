@@ -117,9 +117,9 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def doc_key(doc_id: str, text: str):
-    """Sorts as the ids do: the id's 8 bytes with the sign turned, then the text's digest."""
+    """Sorts as the ids do: the id's 8 bytes with the sign turned, then 8 bytes of the text's digest, which need only tell the texts of one id apart."""
     ordered = F.unhex(F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-    return F.concat(ordered, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return F.concat(ordered, F.substring(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))), 1, 8))
 
 
 def chunks(docs: DataFrame, least: int) -> DataFrame:
@@ -212,9 +212,10 @@ def passages(docs: DataFrame, least: int) -> DataFrame:
     """doc, start, end (code points), n_words and first (the first document's) of every passage that `repeated_passages` tells."""
     chunk = stored(chunks(docs, least), "chunks")
     each = chunk.select("doc", F.explode(F.arrays_zip("key", "digest", "start")).alias("b")).select("doc", "b.key", "b.digest", "b.start")
-    met = each.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key")
+    # each side that is grouped is stored before the join, so that Spark can split the rows of a key that very many hold
+    met = stored(each.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key"), "passage-marks")
     likely = stored(each.join(met, "key").select("doc", "digest", "start"), "passage-chunks")
-    owner = likely.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last"))
+    owner = stored(likely.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last")), "passage-owners")
     placed = stored(likely.join(owner, "digest").select("doc", "start", "first", "last"), "passage-places")
     packed = ((F.col("start").cast("long") * (1 << 32)) + F.col("first.start")).alias("anchor")
     known = placed.where(F.col("doc") != F.col("first.doc")).select("doc", F.col("first.doc").alias("first_doc"), packed)
@@ -227,7 +228,7 @@ def passages(docs: DataFrame, least: int) -> DataFrame:
     window = stored(windows(found.join(owned, "doc"), least), "passage-windows")
     each = window.select("doc", F.explode(F.arrays_zip("digest", "start", "shared")).alias("w")).select("doc", "w.digest", "w.start", "w.shared")
     holder = each.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last"), F.max("shared").alias("shared"), F.count("*").alias("n"))
-    holder = holder.where((F.col("first.doc") < F.col("last")) | (F.col("shared") & (F.col("n") > 1))).select("digest", "first")
+    holder = stored(holder.where((F.col("first.doc") < F.col("last")) | (F.col("shared") & (F.col("n") > 1))).select("digest", "first"), "passage-holders")
     more = each.join(holder, "digest").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     more = more.select("doc", F.col("first.doc").alias("first_doc"), packed)
     pairs = stored(known.union(more).groupBy("doc", "first_doc").agg(F.collect_list("anchor").alias("anchors")), "passage-pairs")
