@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast below this many rows only; beyond it the join shuffles. Such sides hold ids, digests and signatures, no texts.
 BROADCAST_ROWS = 200_000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bits of a broadcast filter at most (32 MB), bits for each key below that, and bits of one of its pages.
 FILTER_BITS, BITS_EACH, PAGE = 1 << 28, 64, 1 << 15
 
@@ -81,8 +83,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to hold BATCH_ROWS rows and BATCH_BYTES at most.
+
+    A Python worker and its executor hold a batch of whole texts several times over; at Spark's
+    own 10,000 rows that is the larger part of a worker's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, a null text as the empty one."""
+    """doc_id and text alone, a null text as the empty one; they go to Python in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, small_batches, texts
 from .shingles import shingle_hashes, word_hashes
 
 K1, B = 1.2, 0.75
@@ -207,6 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no test item as `contaminated` tells it; null and empty texts stay."""
+    small_batches(docs.sparkSession)
     for shards in indexes(benchmark, overlap):
         index = docs.sparkSession.sparkContext.broadcast(shards)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, id_crc, slices
+from .common import hashed_sample, id_crc, slices, small_batches
 
 #: Bytes in a window.
 WINDOW = 192
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, model: ByteCNN, fold: int = 2, folds: int = 4) ->
             langs, scores, _ = model.predict(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_crc() % folds == fold, F.lit(False)).alias("held_out"), F.col("text"))
     return wanted.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -226,4 +227,5 @@ def keep_identified(docs: DataFrame, model: ByteCNN, least: float = LEAST) -> Da
         kept = [k >= least and a != "und" for part in slices([column], 0, 500, 1 << 20) for a, _, k in zip(*model.predict(part.column(0).to_pylist()), strict=True)]
         return pd.Series(kept, dtype=bool)
 
+    small_batches(docs.sparkSession)
     return docs.where(told(F.col("text")))

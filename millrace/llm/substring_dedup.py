@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, result, sized, slices, stored
+from .common import fresh, result, sized, slices, small_batches, stored
 from .shingles import _FOLD, _powers, mix
 
 #: Bytes that the gear hash depends on: as many as it has bits.
@@ -112,6 +112,7 @@ def _listed(of: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
 
 def versions(docs: DataFrame) -> DataFrame:
     """doc (a digest of id and text), doc_id and text of the rows that have an id; a null text is empty."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.select(doc_key("doc_id", "text").alias("doc"), "text", "doc_id")
 
