@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -46,14 +47,25 @@ def scratch(spark: SparkSession, name: str) -> str:
 _OPEN = threading.local()
 
 
+def released(spark: SparkSession) -> None:
+    """Has executors let go of broadcast tables and shuffle files of plans that are done.
+
+    Spark removes them once the driver's garbage collection has found their plans unused, which it
+    looks for every half hour; until then each executor's heap keeps the tables.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 @contextmanager
 def steps(spark: SparkSession) -> Iterator[None]:
-    """The tables that `stored` writes within are deleted at the end, but for those it was told to keep."""
+    """The tables that `stored` writes within are deleted at the end, but for those it was told to keep; see also `released`."""
     scopes = _OPEN.__dict__.setdefault("scopes", [])
     scopes.append([])
     try:
         yield
     finally:
+        released(spark)
         for path in scopes.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
