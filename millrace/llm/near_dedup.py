@@ -16,7 +16,7 @@ member, and no link between different components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,6 @@ WIDE, WIDE_ESTIMATE = 1024, 0.75
 #: Nodes of a block of a bucket, and rounds of forests before all likely pairs are verified.
 BLOCK, FORESTS = 1000, 1
 _STEP, _SIZE = 400, 1 << 20  # texts hashed at once, and their bytes unless one alone is longer
-_TURN = 4000  # pairs of a group looked at in a turn
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,43 +168,12 @@ def _unbiased(share):
     return (share - 1 / 256) / (1 - 1 / 256)
 
 
-def likely_rows(x: np.ndarray, y: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the rows of x and y that are wanted together and whose estimate is enough, and their equal bytes; from signatures of one byte a component."""
-    found = []
-    for lo in range(0, len(x), 64):
-        same = (x[lo : lo + 64, None, :] == y[None, :, :]).sum(axis=2)
-        at, to = np.nonzero(_unbiased(same / x.shape[1]) >= ESTIMATE)
-        good = wanted(at + lo, to)
-        at, to = at[good], to[good]
-        found.append(((at + lo).astype(np.int32), to.astype(np.int32), same[at, to].astype(np.int32)))
-    at, to, same = map(np.concatenate, zip(*found, strict=True))
-    return at, to, same
-
-
-def forest_of(at: np.ndarray, to: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Places of the pairs (at, to) that, taken in their order, join labels not joined before; left and right number the rows' labels.
-
-    Some pairs are looked at in turn, then all later ones within a tree go at once.
-    """
-    tree = np.arange(max(left.max(), right.max()) + 1).tolist()
-
-    def root(label: int) -> int:
-        while tree[label] != label:
-            tree[label] = tree[tree[label]]
-            label = tree[label]
-        return label
-
-    chosen, open_ = [], np.arange(at.size)
-    while open_.size:
-        now, open_ = open_[:_TURN], open_[_TURN:]
-        for k, p, q in zip(now.tolist(), left[at[now]].tolist(), right[to[now]].tolist(), strict=True):
-            u, v = root(p), root(q)
-            if u != v:
-                tree[u] = v
-                chosen.append(k)
-        roots = np.array([root(k) for k in range(len(tree))])
-        open_ = open_[roots[left[at[open_]]] != roots[right[to[open_]]]]
-    return np.array(chosen, np.int64)
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The estimated similarity of each row of x with each row of y, from signatures of one byte a component."""
+    same = np.zeros((len(x), len(y)), np.int32)
+    for i in range(0, len(x), 64):
+        same[i : i + 64] = (x[i : i + 64, None, :] == y[None, :, :]).sum(axis=2)
+    return _unbiased(same / x.shape[1])
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -295,29 +263,41 @@ def across(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFr
         if not left or not right:
             return a, b
         x, y = (np.frombuffer(b"".join(r[6] for r in s), np.uint8).reshape(len(s), -1) for s in (left, right))
-        number: dict[bytes, int] = {}
-        p, q = (np.array([number.setdefault(r[5], len(number)) for r in side]) for side in (left, right))
-        place = {node: k for k, node in enumerate(sorted({r[4] for r in rows_}))}
-        u, v = (np.array([place[r[4]] for r in side]) for side in (left, right))
-        apart = lambda i, j: (p[i] != q[j]) & (u[i] < v[j] if same_block else True)
-        at, to, same = likely_rows(x[:, :COMPONENTS], y[:, :COMPONENTS], apart)
-        if forest and at.size:
-            order = np.argsort(-same, kind="stable")
+        likeness = alike(x[:, :COMPONENTS], y[:, :COMPONENTS])
+        at, to = np.nonzero(likeness >= ESTIMATE)
+        if forest:
+            order = np.argsort(-likeness[at, to], kind="stable")
             at, to = at[order], to[order]
-            chosen = forest_of(at, to, p, q)
-            at, to = at[chosen], to[chosen]
         elif at.size:
-            bands = [np.array([r[7] for r in side], np.int64) for side in (left, right)]
+            p, q = (np.array([r[7] for r in s], np.int64) for s in (left, right))
             good = np.zeros(at.size, bool)
-            for lo in range(0, at.size, _TURN):
-                i, j = at[lo : lo + _TURN], to[lo : lo + _TURN]
-                shared = bands[0][i] == bands[1][j]
-                here = bands[0][i, shared.argmax(axis=1)] == rows_[0][0]  # the first band that they share is this bucket's
-                good[lo : lo + _TURN][here] = _unbiased((x[i[here]] == y[j[here]]).mean(axis=1)) >= WIDE_ESTIMATE
+            for lo in range(0, at.size, 20_000):
+                u, v = at[lo : lo + 20_000], to[lo : lo + 20_000]
+                same = p[u] == q[v]
+                here = p[u, same.argmax(axis=1)] == rows_[0][0]  # the first band that they share is this bucket's
+                u, v = u[here], v[here]
+                sure = np.zeros(here.size, bool)
+                sure[here] = _unbiased((x[u] == y[v]).mean(axis=1)) >= WIDE_ESTIMATE
+                good[lo : lo + 20_000] = sure
             at, to = at[good], to[good]
+        tree: dict[bytes, bytes] = {}
+
+        def root(label: bytes) -> bytes:
+            while tree.get(label, label) != label:
+                label = tree[label]
+            return label
+
         for i, j in zip(at.tolist(), to.tolist(), strict=True):
-            a.append(min(left[i][4], right[j][4]))
-            b.append(max(left[i][4], right[j][4]))
+            p, q = left[i], right[j]
+            if p[5] == q[5] or (same_block and p[4] >= q[4]):
+                continue
+            if forest:
+                u, v = root(p[5]), root(q[5])
+                if u == v:
+                    continue
+                tree[u] = v
+            a.append(min(p[4], q[4]))
+            b.append(max(p[4], q[4]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
