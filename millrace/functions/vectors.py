@@ -73,3 +73,23 @@ def few_bit_encode(v: Column, bits: int = 4) -> Column:
     v = F.transform(v, lambda x: x.cast("double"))
     least, step = F.array_min(v), (F.array_max(v) - F.array_min(v)) / levels
     return F.struct(F.transform(v, lambda x: F.when(step == 0, 0).otherwise(F.floor((x - least) / step + 0.5)).cast("tinyint")).alias("codes"), least.alias("least"), step.alias("step"))
+
+
+@F.pandas_udf(T.BinaryType())
+def float32_bytes(v: pd.Series) -> pd.Series:
+    """A vector as little-endian 32-bit floats, one after another; null stays null."""
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+
+def from_float32_bytes(payload: Column, dim: int) -> Column:
+    """The vector that a payload of `dim` little-endian 32-bit floats holds; null for a null payload or one of another length."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def decoded(p: pd.Series) -> pd.Series:
+        right = np.array([x is not None and len(x) == 4 * dim for x in p], bool)
+        out = np.full(len(p), None, object)
+        for i, row in zip(np.flatnonzero(right), np.frombuffer(b"".join(p[right]), "<f4").reshape(-1, dim), strict=True):
+            out[i] = row
+        return pd.Series(out)
+
+    return decoded(payload)

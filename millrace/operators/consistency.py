@@ -160,3 +160,14 @@ def ship(states: DataFrame, acknowledged: DataFrame, replica: str, seq: str, siz
     total = states.agg(F.sum(size).alias("full_bytes"))
     delta = acknowledged.join(states, states[seq] > acknowledged["acked"], "left").groupBy(replica, "acked").agg(F.coalesce(F.sum(size), F.lit(0)).alias("delta_bytes"))
     return delta.crossJoin(F.broadcast(total)).select(replica, "delta_bytes", "full_bytes", F.when(F.col("acked") >= 0, "delta").otherwise("full").alias("plan"))
+
+
+def written_together(writes: DataFrame, txn: str, key: str, value: str) -> DataFrame:
+    """Versions (key, ts, siblings, value) of read-atomic writes: ts is the transaction, siblings its other keys in order.
+
+    Of a key written twice in a transaction the greatest value stays. A transaction's keys are
+    gathered in one row, as each of its versions carries them.
+    """
+    once = writes.groupBy(F.col(txn).alias("ts"), F.col(key).alias("key")).agg(F.max(value).alias("value"))
+    keys = once.groupBy("ts").agg(F.sort_array(F.collect_list("key")).alias("siblings"))
+    return once.join(keys, "ts").select("key", "ts", F.array_remove("siblings", F.col("key")).alias("siblings"), "value")

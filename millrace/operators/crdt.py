@@ -6,7 +6,7 @@ map side and a log may be read in any order and more than once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,3 +92,19 @@ def clock(events: DataFrame, node: str, wall_ms: str, order: list[str]) -> DataF
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     with_l = events.withColumn("l", F.max(wall_ms).over(so_far))
     return with_l.withColumn("c", F.row_number().over(Window.partitionBy(node, "l").orderBy(*order)) - 1)
+
+
+def clock_update(l: Column, c: Column, received_l: Column, received_c: Column, wall_ms: Column) -> tuple[Column, Column]:  # noqa: E741
+    """A hybrid stamp (l, c) after a message: l is the greatest of the three times.
+
+    c goes on from the counter of whichever stamp had that time, of the greater one if both had,
+    and from 0 where the wall time is ahead.
+    """
+    new = F.greatest(l, received_l, wall_ms)
+    ahead = [F.when(stamp == new, counter + 1) for stamp, counter in ((l, c), (received_l, received_c))]
+    return new, F.coalesce(F.greatest(*ahead), F.lit(0))
+
+
+def delta_join(states: DataFrame, delta: DataFrame) -> DataFrame:
+    """The states of a set with a delta joined in; a delta that comes again, or whose tags are known, changes nothing."""
+    return states.unionByName(delta).distinct()

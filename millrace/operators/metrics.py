@@ -52,7 +52,15 @@ def percentiles(hist: DataFrame, ps: list[float], by: list[str] | None = None) -
 
 
 def mean(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return hist.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col("offset")) / F.sum("n")).alias("mean"), F.sum("n").alias("count"))
+    """Mean of the offsets and count; the mean is infinite for a histogram with counts in its last bucket."""
+    out = hist.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col("offset")) / F.sum("n")).alias("mean"), F.sum("n").alias("count"), F.max("bucket").alias("_last"))
+    return out.withColumn("mean", F.when(F.col("_last") == BUCKETS - 1, float("inf")).otherwise(F.col("mean"))).drop("_last")
+
+
+def maximum(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """The greatest value as a whole number; 2**63 - 1 where it falls into the last bucket. Partial results merge by their maximum."""
+    out = rows.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.max(value).alias("max"))
+    return out.withColumn("max", F.when(bucket_of(F.col("max")) == BUCKETS - 1, 2**63 - 1).otherwise(F.col("max").cast("long")))
 
 
 def windowed(events: DataFrame, ts: str, value: str, every: str, ps: list[float], error: Column | None = None) -> DataFrame:

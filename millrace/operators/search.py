@@ -256,8 +256,11 @@ def search(index: SearchIndex, where: Filter = everything(), sort: str | None =
     return _shaped(rows, index, order, offset, limit, [] if no_content else returns)
 
 
-def nearest(index: SearchIndex, query: list[float], k: int, where: Filter = everything(), metric: str | None = None, returns: list[str] | None = None) -> DataFrame:
-    """The exact k nearest of the rows that match, with their distance as __vec_score; ties by key."""
+def nearest(index: SearchIndex, query: list[float], k: int, where: Filter = everything(), metric: str | None = None, returns: list[str] | None = None, sort: str | None = None, descending: bool = False, offset: int = 0, limit: int | None = None, no_content: bool = False) -> DataFrame:
+    """The exact k nearest of the rows that match, with their distance as __vec_score; ties by key.
+
+    Those k rows are then sorted (by distance if not said otherwise), cut and projected.
+    """
     if not index.vector:
         raise SearchError(f"index {index.name} has no vector")
     if k <= 0:
@@ -266,7 +269,14 @@ def nearest(index: SearchIndex, query: list[float], k: int, where: Filter = ever
         raise DimensionMismatch(f"{len(query)} components, not {index.dim}")
     rows = index.rows.where(where.column(index) & F.col(index.vector).isNotNull())
     rows = rows.withColumn("__vec_score", vectors.distance(metric or index.metric, F.col(index.vector), vectors.constant(query)))
-    return _shaped(rows, index, [F.col("__vec_score"), F.col(index.key)], 0, k, returns, ("__vec_score",))
+    order = [F.col("__vec_score"), F.col(index.key)]
+    if sort:
+        rows = rows.orderBy(*order).limit(k)
+        order = _sorted(rows, index, sort, descending)
+    else:
+        left = max(k - offset, 0)
+        limit = left if limit is None else min(limit, left)
+    return _shaped(rows, index, order, offset, limit, [] if no_content else returns, () if no_content else ("__vec_score",))
 
 
 def merge_hits(parts: list[DataFrame], key: str, score: str, k: int) -> DataFrame:

@@ -60,3 +60,16 @@ def candidates(posting: DataFrame, key: str, part: str) -> DataFrame:
 
 def document_frequency(posting: DataFrame) -> DataFrame:
     return posting.groupBy("trigram").agg(F.count("*").alias("documents"))
+
+
+def any_of(posting: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """Documents that hold one of the trigrams at least; none for an empty list."""
+    return posting.where(F.col("trigram").isin(wanted) if wanted else F.lit(False)).select(key).distinct()
+
+
+def preview(part: str, shown: int = 8) -> str:
+    """The trigrams that a substring search would look up, the first few of them; a part under three characters is searched by a scan."""
+    if len(part) < 3:
+        return "<short-circuit: scan>"
+    found = [f'"{part[i : i + 3]}"' for i in range(len(part) - 2)]
+    return f"[{', '.join(found[:shown])}{', ...' if len(found) > shown else ''}]"

@@ -269,3 +269,8 @@ def phi_accrual(spark, sf_dir):
 @query("SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def stats_snapshot(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("SELECT event_type, CAST(trunc(max(value)) AS BIGINT) AS max FROM events WHERE value IS NOT NULL GROUP BY 1")
+def hist_max(spark, sf_dir):
+    return metrics.maximum(table(spark, sf_dir, "events"), "value", ["event_type"])

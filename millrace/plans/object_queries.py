@@ -220,3 +220,29 @@ def bucket_text_search(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def object_fields(spark, sf_dir):
     return objects.fields(table(spark, sf_dir, "events"), "props", "k bigint").select("event_id", "k")
+
+
+@query(f"WITH {_OPS} SELECT DISTINCT o.key, o.element FROM ops o WHERE kind = 'add' AND NOT EXISTS (SELECT 1 FROM ops r WHERE r.kind = 'remove' AND r.key = o.key AND r.element = o.element AND (r.ts, r.event_id) > (o.ts, o.event_id))")
+def crdt_delta_join(spark, sf_dir):
+    states = crdt.set_states(op_log(spark, sf_dir), ["ts", "event_id"])
+    known, delta = states.where("kind = 'add'"), states.where("kind = 'remove' or pmod(hash(tag), 2) = 0")
+    return crdt.set_value(crdt.delta_join(crdt.delta_join(known, delta), delta))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, CAST(epoch_us(max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) // 1000 AS BIGINT) AS l FROM events),
+  h AS (SELECT *, row_number() OVER (PARTITION BY user_id, l ORDER BY event_id) - 1 AS c FROM s), r AS (SELECT user_id - 1 AS user_id, max((l, c))[1] AS rl, max((l, c))[2] AS rc FROM h GROUP BY 1),
+  n AS (SELECT h.*, rl, rc, greatest(l, rl, ms) AS nl FROM h JOIN r USING (user_id))
+  SELECT user_id, event_id, nl AS l, CAST(CASE WHEN nl = l AND nl = rl THEN greatest(c, rc) + 1 WHEN nl = l THEN c + 1 WHEN nl = rl THEN rc + 1 ELSE 0 END AS INTEGER) AS c FROM n""")
+def hlc_update(spark, sf_dir):
+    """Each event's stamp after a message that bears the last stamp of the next user."""
+    stamps = crdt.clock(table(spark, sf_dir, "events").select("user_id", "event_id", epoch("ts", "MILLISECOND").alias("ms")), "user_id", "ms", ["event_id"])
+    last = stamps.groupBy((F.col("user_id") - 1).alias("user_id")).agg(F.max(F.struct("l", "c")).alias("r"))
+    l, c = crdt.clock_update(F.col("l"), F.col("c"), F.col("r.l"), F.col("r.c"), F.col("ms"))  # noqa: E741
+    return stamps.join(last, "user_id").select("user_id", "event_id", l.alias("l"), c.alias("c"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS ts, l_partkey AS key, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2), k AS (SELECT ts, list_sort(list(key)) AS keys FROM w GROUP BY 1)
+  SELECT key, ts, array_to_string(list_filter(keys, lambda x: x <> key), ',') AS siblings, value FROM w JOIN k USING (ts)""")
+def ramp_write(spark, sf_dir):
+    versions = consistency.written_together(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
+    return versions.withColumn("siblings", F.array_join("siblings", ","))

@@ -300,3 +300,20 @@ def sug_add_incr(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ops = e.select(F.lit("users").alias("dict"), F.col("user_id").cast("string").alias("suggestion"), F.col("event_id").alias("seq"), (F.col("event_type") != "purchase").alias("incr"), F.round("value").alias("score"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("payload"))
     return suggest.fold(ops).select("suggestion", "score", "payload")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(p_name,'wid') OR contains(p_name,'get')")
+def trigram_union(spark, sf_dir):
+    return text_search.any_of(text_search.postings(table(spark, sf_dir, "part"), "p_partkey", "p_name"), "p_partkey", ["wid", "get"])
+
+
+@query("SELECT vec_id, len(embedding) AS n, embedding[1] AS first, embedding[64] AS last FROM embeddings")
+def vec_decode(spark, sf_dir):
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", vectors.float32_bytes("embedding").alias("payload"))
+    v = packed.withColumn("v", vectors.from_float32_bytes(F.col("payload"), 64))
+    return v.select("vec_id", F.size("v").cast("bigint").alias("n"), F.col("v")[0].alias("first"), F.col("v")[63].alias("last"))
+
+
+@query(f"SELECT vec_id, label FROM (SELECT vec_id, label FROM embeddings ORDER BY 1 - list_dot_product(embedding::DOUBLE[], {_PROBE_SQL}) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product({_PROBE_SQL}, {_PROBE_SQL})), vec_id LIMIT 20) ORDER BY label DESC, vec_id LIMIT 10 OFFSET 3")
+def knn_sortby(spark, sf_dir):
+    return S.nearest(vec_index(spark, sf_dir, "COSINE"), PROBE, 20, sort="label", descending=True, offset=3, limit=10, returns=["label"]).drop("__vec_score")

@@ -75,6 +75,7 @@ def stream_throttle(spark, sf_dir):
     return finished(stateful.throttle(event_stream(spark, sf_dir), "user_id", "ts", 0.0001, 5.0), "append")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e)
+  SELECT CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(max(ts)) // 1000 AS BIGINT) AS last_ms FROM e GROUP BY user_id HAVING epoch_us(max(ts)) // 1000 + 86400000 < (SELECT epoch_us(mark) // 1000 FROM m)""")
 def stream_reaper(spark, sf_dir):
     return finished(stateful.reaper(event_stream(spark, sf_dir).where("event_type = 'error'"), "user_id", "ts", 86_400_000, "1 hour"), "append")

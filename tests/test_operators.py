@@ -179,3 +179,20 @@ def test_save_load_report(spark, tmp_path):
     assert values(objects.fields(back, "value", "x int"), "key", "x") == [("k1", 1)]
     objects.report(df, f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 3
+
+
+def test_clock_update(spark):
+    rows = spark.createDataFrame([(5, 2, 5, 7, 5), (5, 2, 4, 7, 5), (4, 2, 5, 7, 5), (4, 2, 5, 7, 6)], "l int, c int, rl int, rc int, ms int")
+    l, c = crdt.clock_update(F.col("l"), F.col("c"), F.col("rl"), F.col("rc"), F.col("ms"))  # noqa: E741
+    assert [tuple(r) for r in rows.select(l, c).collect()] == [(5, 8), (5, 3), (5, 8), (6, 0)]
+
+
+def test_histogram_beyond_its_last_bucket(spark):
+    rows = spark.createDataFrame([("a", 7.5), ("a", 3.0), ("b", 1e18), ("c", None)], "k string, v double")
+    assert {tuple(r) for r in metrics.maximum(rows, "v", ["k"]).collect()} == {("a", 7), ("b", 2**63 - 1)}
+    assert {r["k"]: r["mean"] for r in metrics.mean(metrics.histogram(rows, "v", ["k"]), ["k"]).collect()} == {"a": 5.0, "b": float("inf")}
+
+
+def test_written_together(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "b", 3), (2, "a", 9)], "t int, k string, v int")
+    assert {(r["key"], r["ts"], tuple(r["siblings"]), r["value"]) for r in consistency.written_together(rows, "t", "k", "v").collect()} == {("a", 1, ("b",), 1), ("b", 1, ("a",), 3), ("a", 2, (), 9)}

@@ -1,8 +1,11 @@
 """Golden answers on the three-row index, and plans that reach the scan."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.functions import vectors
 from millrace.operators import search as S
+from millrace.operators import text_search
 
 ROWS = [("doc:1", "red apple", "red", "10", [0.0, 0.0]), ("doc:2", "green apple", "green", "20", [1.0, 1.0]), ("doc:3", "red berry", "red", "30", [2.0, 2.0]), ("doc:4", None, None, "x", [9.0, 9.0])]
 
@@ -112,3 +115,15 @@ def test_batch_search_of_many_queries(spark):
         best = sorted(((v[0] - d % 101) ** 2 + (v[1] - d % 89) ** 2, i) for i, v in points)[:2]
         want |= {(d, k + 1): i for k, (_, i) in enumerate(best)}
     assert got == want
+
+
+def test_float32_payloads(spark):
+    rows = spark.createDataFrame([(1, bytes.fromhex("0000803f000000c0")), (2, bytes(4)), (3, None)], "k int, p binary")
+    got = {r["k"]: r["v"] for r in rows.select("k", vectors.from_float32_bytes(F.col("p"), 2).alias("v")).collect()}
+    assert got == {1: [1.0, -2.0], 2: None, 3: None}
+
+
+def test_preview():
+    assert text_search.preview("ab") == "<short-circuit: scan>"
+    assert text_search.preview("abcd") == '["abc", "bcd"]'
+    assert text_search.preview("abcdefghijk").endswith('"hij", ...]')
